@@ -124,14 +124,18 @@ def normalise_split(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ``weights`` has the columns ``channel`` and ``weight``. An entity has one row per
     channel, so the known channels are summed into columns and no group is gathered.
     """
-    w = F.coalesce(F.col("weight"), F.lit(0.0))
-    per_channel = [F.sum(F.when(F.col("channel") == c, w).otherwise(0.0)).alias(f"w{i}")
-                   for i, c in enumerate(DEFAULT_SPLIT)]
-    wide = (weights.groupBy(*by) if by else weights).agg(*per_channel)
-    whole = sum((F.col(f"w{i}") for i in range(1, len(DEFAULT_SPLIT))), F.col("w0"))
+    w = F.col("weight").cast("decimal(28,12)")
+
+    def summed(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("double").alias(name)
+
+    channel = F.col("channel")
+    per_channel = [summed(channel == c, f"w{i}") for i, c in enumerate(DEFAULT_SPLIT)]
+    known = summed(channel.isin(*DEFAULT_SPLIT), "whole")
+    wide = (weights.groupBy(*by) if by else weights).agg(*per_channel, known)
     rows = F.array(*[
         F.struct(F.lit(c).alias("channel"),
-                 F.coalesce(F.try_divide(F.col(f"w{i}"), whole), F.lit(d)).alias("weight"))
+                 F.coalesce(F.try_divide(F.col(f"w{i}"), F.col("whole")), F.lit(d)).alias("weight"))
         for i, (c, d) in enumerate(DEFAULT_SPLIT.items())
     ])
     return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
