@@ -51,7 +51,7 @@ def raw_text(df: DataFrame, headers: dict[str, str], *more: Column) -> DataFrame
     """The table under report headers, all cells text."""
     kinds = dict(df.dtypes)
     return df.select(*[
-        (as_text(c) if kinds[c].startswith("decimal") else F.col(c).cast("string")).alias(h)
+        (as_text(c) if kinds[c] == "double" else F.col(c).cast("string")).alias(h)
         for h, c in headers.items()
     ], *more)
 

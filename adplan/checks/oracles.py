@@ -538,10 +538,9 @@ oracle("search_term_breakdown", "SELECT * FROM terms")
 oracle("product_breakdown", "SELECT * FROM prod")
 _bulk = [("campaign", "campaign_name"), ("asin", "asin"), ("match_type", "match_type"),
          ("bid_strategy", "bid_strategy"), ("ad_product", "campaign_type")]
-for _name in ("all_breakdowns", "all_breakdowns_sets"):
-    oracle(_name, f"SELECT *, {RATIOS} FROM (" + union([
-        f"SELECT '{n}' AS dimension, {c} AS key, {sums(FULL)} FROM ads WHERE {c} IS NOT NULL GROUP BY {c}"
-        for n, c in _bulk]) + ")")
+oracle("all_breakdowns", f"SELECT *, {RATIOS} FROM (" + union([
+    f"SELECT '{n}' AS dimension, {c} AS key, {sums(FULL)} FROM ads WHERE {c} IS NOT NULL GROUP BY {c}"
+    for n, c in _bulk]) + ")")
 oracle("wasted_spend_summary", f"""
 SELECT campaign_type, {r("wasted", 2)} AS wasted_spend, coalesce({pos("wasted", "spent", 1, True)}, 0) AS wasted_pct,
  {r("spent", 2)} AS total_spend

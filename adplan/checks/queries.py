@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adplan import fixtures
 from adplan.checks import inputs as inp
 from adplan.functions import dates, labels
+from adplan.functions.numeric import total
 from adplan.functions.schema import ADS_ALIASES, CORE_MEASURES
 from adplan.operators import attach as at
 from adplan.operators import blended, ingest, ratios, topk
@@ -18,6 +19,7 @@ from adplan.operators import health as hl
 from adplan.operators import kpis as kp
 from adplan.operators import timeseries as ts
 from adplan.plans import budget, monthly, rules, scenarios, tables
+from adplan.plans.account import account_tables, facts_of
 from adplan.plans.settings import growth_scenarios
 from adplan.sources import reports, stage
 from adplan.sources.tables import table
@@ -89,15 +91,11 @@ def save_and_load_stage(spark, d):
 
 
 def _plan_tables(spark, d):
-    camps = stage.settle(inp.campaigns(spark, d), "campaigns")
-    plan = inp.plan(spark, d)
-    health = inp.health(spark, d)
+    t = account_tables(inp.ads(spark, d), inp.vendor(spark, d), SCENARIOS)
     return tables.media_plan_tables(
-        inp.kpis(spark, d), inp.vendor_kpis(spark, d), plan, REFERENCE,
-        budget.recommend_campaigns(camps, plan), camps,
-        blended.merge_asin_view(bd.asin_ads_breakdown(inp.ads(spark, d), ordered=False),
-                                inp.vendor_products(spark, d), ordered=False),
-        health, monthly.monthly_plan(plan, inp.actuals(spark, d)))
+        t["kpis"], t["vendor_kpis"], t["plan"], REFERENCE, budget.recommend_campaigns(t["campaigns"], t["plan"]),
+        t["campaigns"], blended.merge_asin_view(t["products"], t["vendor_products"], ordered=False), t["health"],
+        monthly.monthly_plan(t["plan"], inp.actuals(spark, d)))
 
 
 @query
@@ -227,7 +225,7 @@ def parse_date_range(spark, d):
              .when(F.col("l_linenumber") == 5, F.date_format(day, "yyyy-MM-dd"))
              .when(F.col("l_linenumber") == 6, F.date_format(day, "MM/dd/yyyy"))
              .otherwise("no date"))
-    out = table(spark, d, "lineitem").select("l_linenumber", dates.parse_date_range(shown).alias("start"))
+    out = dates.with_range_start(table(spark, d, "lineitem"), shown, "start")
     return out.groupBy("l_linenumber", "start").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -267,10 +265,13 @@ def metric_bands(spark, d):
 
 @query
 def delta(spark, d):
-    year = F.year("report_date")
-    per = inp.ads(spark, d).groupBy("campaign_name").agg(
-        F.sum(F.when(year == 1997, F.col("spend"))).cast("double").alias("new"),
-        F.sum(F.when(year == 1996, F.col("spend"))).cast("double").alias("old"))
+    ads = inp.ads(spark, d)
+
+    def spend_in(year: int):
+        there = F.year("report_date") == year
+        return F.when(F.count_if(there) > 0, total(ads, "spend", there))
+
+    per = ads.groupBy("campaign_name").agg(spend_in(1997).alias("new"), spend_in(1996).alias("old"))
     pct = labels.delta(F.col("new"), F.col("old"), higher_is_better=False)
     points = labels.delta(F.col("new"), F.col("old"), points=True)
     out = per.withColumns({"p": pct, "q": points})
@@ -462,11 +463,6 @@ def all_breakdowns(spark, d):
     return bd.all_breakdowns(inp.ads(spark, d))
 
 
-@query
-def all_breakdowns_sets(spark, d):
-    return bd.all_breakdowns_sets(inp.ads(spark, d))
-
-
 @query
 def wasted_spend_summary(spark, d):
     return kp.wasted_spend_summary(inp.ads(spark, d), ["campaign_type"])
@@ -746,13 +742,7 @@ def seasonal_calendar(spark, d):
 # --- rules -------------------------------------------------------------------------------------------------------
 
 def _facts(spark, d, by=("brand",)):
-    ads = inp.ads(spark, d)
-    camps = ratios.add_ratios(bd.breakdown(ads, "campaign_name", by=by))
-    products = bd.product_breakdown(ads, by=by, ordered=False)
-    health = hl.asin_health(stage.settle(products, "products"), by=by, ordered=False)
-    return rules.account_facts(
-        inp.kpis(spark, d, by), inp.vendor_kpis(spark, d, by), camps, health,
-        inp.plan(spark, d, by), REFERENCE, kp.wasted_spend_summary(ads, by), by)
+    return facts_of(account_tables(inp.ads(spark, d), inp.vendor(spark, d), SCENARIOS, by), REFERENCE, by)
 
 
 @query

@@ -10,7 +10,13 @@ from adplan.sources.tables import table
 
 SOLD = "l_linestatus = 'F' AND p_size % 10 <> 0"
 NEW_BUYER = f"{SOLD} AND (o_orderstatus = 'P' OR p_size % 3 = 0)"
-MEASURE = "DECIMAL(18,4)"
+# At least nine digits, more where the key has more.
+PRODUCT = "concat('B', lpad(string(l_partkey), greatest(9, length(string(l_partkey))), '0'))"
+
+
+def amount(x: str) -> str:
+    """A measure with four decimals."""
+    return f"rint(({x}) * 10000) / 10000"
 
 
 def raw_ads(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,21 +28,21 @@ def raw_ads(spark: SparkSession, folder: str) -> DataFrame:
         parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.selectExpr(
         "l_orderkey", "l_linenumber", "CAST(l_shipdate AS DATE) AS report_date",
-        "format_string('B%09d', l_partkey) AS asin",
+        f"{PRODUCT} AS asin",
         "concat('camp-', l_suppkey) AS campaign_name",
         "CASE l_returnflag WHEN 'R' THEN ' SP ' WHEN 'A' THEN 'Headline Search Ads' "
         "ELSE 'sponsored display (sd)' END AS campaign_type",
         "CASE l_linenumber % 3 WHEN 0 THEN 'Exact' WHEN 1 THEN 'Phrase' ELSE 'Broad' END AS match_type",
         "o_orderpriority AS bid_strategy", "concat(p_name, ' ', p_size) AS search_term",
         "p_name AS product_title", "p_type AS category", "p_brand AS brand",
-        f"CAST(l_quantity * 100 * (1 + l_linenumber) AS {MEASURE}) AS impressions",
-        f"CAST(ceil(l_quantity / (1 + p_size % 8)) AS {MEASURE}) AS clicks",
-        f"CAST(l_extendedprice * l_discount * (1 + p_size % 7) AS {MEASURE}) AS spend",
-        f"CAST(CASE WHEN {SOLD} THEN l_extendedprice ELSE 0 END AS {MEASURE}) AS ad_sales",
-        f"CAST(CASE WHEN {SOLD} THEN 1 ELSE 0 END AS {MEASURE}) AS ad_orders",
-        f"CAST(CASE WHEN {NEW_BUYER} THEN 1 ELSE 0 END AS {MEASURE}) AS ad_orders_ntb",
-        f"CAST(CASE WHEN {NEW_BUYER} THEN l_extendedprice ELSE 0 END AS {MEASURE}) AS sales_ntb",
-        f"CAST(CASE WHEN {SOLD} THEN l_extendedprice * (1 + l_tax) ELSE 0 END AS {MEASURE}) AS ad_sales_longterm",
+        f"{amount('l_quantity * 100 * (1 + l_linenumber)')} AS impressions",
+        f"{amount('ceil(l_quantity / (1 + p_size % 8))')} AS clicks",
+        f"{amount('l_extendedprice * l_discount * (1 + p_size % 7)')} AS spend",
+        f"{amount(f'CASE WHEN {SOLD} THEN l_extendedprice ELSE 0 END')} AS ad_sales",
+        f"{amount(f'CASE WHEN {SOLD} THEN 1 ELSE 0 END')} AS ad_orders",
+        f"{amount(f'CASE WHEN {NEW_BUYER} THEN 1 ELSE 0 END')} AS ad_orders_ntb",
+        f"{amount(f'CASE WHEN {NEW_BUYER} THEN l_extendedprice ELSE 0 END')} AS sales_ntb",
+        f"{amount(f'CASE WHEN {SOLD} THEN l_extendedprice * (1 + l_tax) ELSE 0 END')} AS ad_sales_longterm",
     )
 
 
@@ -48,15 +54,15 @@ def vendor(spark: SparkSession, folder: str, with_price: bool = False) -> DataFr
     """One row per line item, shaped like a vendor sales report."""
     lines = table(spark, folder, "lineitem").filter("l_partkey % 10 <> 0")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    price = [f"CAST(p_retailprice AS {MEASURE}) AS avg_selling_price"] if with_price else []
+    price = [f"{amount('p_retailprice')} AS avg_selling_price"] if with_price else []
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
-        "format_string('B%09d', l_partkey) AS asin", "CAST(l_shipdate AS DATE) AS report_date",
+        f"{PRODUCT} AS asin", "CAST(l_shipdate AS DATE) AS report_date",
         "p_name AS product_title", "p_type AS category", "p_brand AS brand",
-        f"CAST(l_extendedprice AS {MEASURE}) AS ordered_revenue",
-        f"CAST(l_extendedprice * (1 - l_discount) AS {MEASURE}) AS shipped_revenue",
-        f"CAST(l_quantity AS {MEASURE}) AS ordered_units",
-        f"CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END AS {MEASURE}) AS shipped_units",
-        f"CAST(l_quantity * 20 AS {MEASURE}) AS glance_views",
+        f"{amount('l_extendedprice')} AS ordered_revenue",
+        f"{amount('l_extendedprice * (1 - l_discount)')} AS shipped_revenue",
+        f"{amount('l_quantity')} AS ordered_units",
+        f"{amount("CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END")} AS shipped_units",
+        f"{amount('l_quantity * 20')} AS glance_views",
         *price,
     )
 
@@ -68,6 +74,6 @@ def event_measures(events: DataFrame) -> DataFrame:
         "CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS impressions",
         "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS clicks",
         "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS ad_orders",
-        f"CAST(CASE WHEN event_type = 'click' THEN value / 10 ELSE 0 END AS {MEASURE}) AS spend",
-        f"CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS {MEASURE}) AS ad_sales",
+        f"{amount("CASE WHEN event_type = 'click' THEN value / 10 ELSE 0 END")} AS spend",
+        f"{amount("CASE WHEN event_type = 'purchase' THEN value ELSE 0 END")} AS ad_sales",
     )

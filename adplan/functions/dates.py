@@ -2,79 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = ("january february march april may june july august september "
           "october november december").split()
 
-ISO_DAY = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
-ISO_MONTH = r"^(\d{4})-(\d{1,2})$"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-MONTH_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?: .*)?$"
-NAME_FIRST = r"^([A-Za-z]+)\.?\s+(\d{1,2}),?\s*(\d{4})$"
-DAY_FIRST = r"^(\d{1,2})[ -]([A-Za-z]+)\.?[ -](\d{4})$"
-NAME_ONLY = r"^([A-Za-z]+)\.?[ -](\d{4})$"
 ISO_RANGE = r"(\d{4}-\d{2}-\d{2})\s*[-–]\s*(\d{4}-\d{2}-\d{2})"
 NAME_RANGE = (r"([A-Za-z]+\s+\d{1,2},?\s*\d{4})\s*[-–]\s*"
               r"([A-Za-z]+\s+\d{1,2},?\s*\d{4})")
-
 FULL_YEAR_DAYS = 350
 
 
 def _month_number(name: Column) -> Column:
     pairs: list[Column] = []
     for i, m in enumerate(MONTHS, start=1):
-        for spelling in {m, m[:3]} | ({"sept"} if m == "september" else set()):
-            pairs += [F.lit(spelling), F.lit(str(i))]
+        for spelling in dict.fromkeys([m, m[:3]] + ["sept"] * (m == "september")):
+            pairs += [F.lit(spelling), F.lit(i)]
     return F.try_element_at(F.create_map(*pairs), F.lower(name))
 
 
-def _ymd(c: Column, pattern: str, year: int, month: int, day: int | None, named: bool) -> Column:
-    part = lambda g: F.regexp_extract(c, pattern, g)
-    m = _month_number(part(month)) if named else part(month)
-    d = part(day) if day else F.lit("1")
-    return F.when(c.rlike(pattern), F.concat(part(year), F.lit("-"), m, F.lit("-"), d))
+def _small_number(word: Column) -> Column:
+    """Up to eight digits as a number. Only such words reach the cast: a failing
+    ``try_cast`` builds an exception per row."""
+    digits = F.length(word).between(1, 8) & (F.translate(word, "0123456789", "") == "")
+    return F.when(digits, word.cast("int"))
+
+
+def _settled(df: DataFrame, keep: list[str], value: Column, out: str) -> DataFrame:
+    """Add a costly column through a one-element generator.
+
+    Catalyst moves filters below projections by copying the projected expressions into
+    them; it does not move them below a generator, so a filter on the column reads the
+    value instead of computing it again. It also keeps the generated code of a step
+    small enough for the JIT compiler.
+    """
+    return df.select(*keep, F.explode(F.array(value)).alias(out))
 
 
-def parse_date(c: Column) -> Column:
-    """A single date in any of the usual report spellings, else null.
+def _with_words(df: DataFrame, keep: list[str], source: Column) -> DataFrame:
+    """Cut a date text into its first six words and numbers.
 
-    Each spelling is recognised by its pattern first, so only texts that look like
-    a date reach the parser.
+    Texts in the usual spelling are cut without regular expressions. What has a time of
+    day, odd spacing or further words goes through the patterns.
+    """
+    cut = df.select(*keep, F.trim(source.cast("string")).alias("__text"))
+    text = F.col("__text")
+    plain = text
+    for joint in (", ", " - ", " – "):
+        plain = F.replace(plain, F.lit(joint), F.lit(" "))
+    cut = cut.select("*", F.split(F.translate(plain, "-–/,", "    "), " ").alias("__fast"))
+    n = F.size("__fast")
+    usual = (n <= 3) | (n == 6)
+    simple = usual & ~F.array_contains("__fast", "") & ~text.contains(":") & ~text.contains(".")
+    span = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (ISO_RANGE, NAME_RANGE)], text)
+    words = F.when(simple, F.col("__fast")).otherwise(F.split(span, r"[^A-Za-z0-9]+|(?<=\d)T(?=\d)"))
+    cut = cut.select(*keep, words.alias("__words"), text.contains(":").alias("__timed"))
+    return cut.select(
+        *keep, F.size("__words").alias("__n"), "__timed",
+        *[F.get("__words", F.lit(i)).alias(f"__w{i}") for i in range(6)])
+
+
+def _with_day(df: DataFrame, at: int, name: str) -> DataFrame:
+    """Read three words from position ``at`` as a date; ``__n`` says how many there are."""
+    keep = df.columns
+    w = [F.col(f"__w{at + i}") for i in range(3)]
+    cut = df.select(
+        *keep, *[_small_number(x).alias(f"__i{i}") for i, x in enumerate(w)],
+        *[_month_number(x).alias(f"__m{i}") for i, x in enumerate(w[:2])])
+    i0, i1, i2, m0, m1 = (F.col(f"__{x}") for x in ("i0", "i1", "i2", "m0", "m1"))
+    n = F.col("__n")
+    three = (n == 3) | (n == 6) | (F.col("__timed") & n.between(4, 8))
+    year_at = [(F.length(w[i]) == 4) & x.isNotNull() for i, x in enumerate((i0, i1, i2))]
+    year_first, year_last = three & year_at[0], three & year_at[2]
+    packed = (n == 1) & (F.length(w[0]) == 8)
+    year = (F.when((n <= 3) & year_at[0] | year_first, i0).when(year_last, i2)
+            .when((n == 2) & year_at[1], i1).when(packed, F.floor(i0 / 10000)))
+    month = (F.when((n >= 2) & year_at[0], i1)
+             .when(year_last, F.when(i1.isNull(), m1).otherwise(F.coalesce(i0, m0)))
+             .when((n == 2) & year_at[1], m0).when(packed, F.floor(i0 / 100) % 100))
+    day = (F.when(year_first, i2).when(year_last, F.coalesce(i1, i0))
+           .when(n == 2, F.lit(1)).when(packed, i0 % 100))
+    midnight = F.lit(0).cast("decimal(16,6)")
+    moment = F.try_make_timestamp_ntz(
+        year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), midnight)
+    return _settled(cut, keep, moment.cast("date"), name)
+
+
+def with_date(df: DataFrame, source: Column, out: str) -> DataFrame:
+    """Add a date read from a text in any of the usual report spellings, else null.
+
+    ``2025-01-31``, ``2025/1/31``, ``20250131``, ``2025-01``, ``1/31/2025``,
+    ``Jan 31, 2025``, ``31 January 2025``, ``Jan 2025``; a time of day may follow.
     """
-    s = F.trim(c.cast("string"))
-    ymd = F.coalesce(
-        _ymd(s, ISO_DAY, 1, 2, 3, False),
-        _ymd(s, MONTH_FIRST, 3, 1, 2, False),
-        _ymd(s, NAME_FIRST, 3, 1, 2, True),
-        _ymd(s, DAY_FIRST, 3, 2, 1, True),
-        _ymd(s, COMPACT, 1, 2, 3, False),
-        _ymd(s, ISO_MONTH, 1, 2, None, False),
-        _ymd(s, NAME_ONLY, 2, 1, None, True),
-    )
-    return F.try_to_date(ymd, "yyyy-M-d")
-
-
-def parse_date_range(c: Column) -> Column:
-    """Start of a date range; null for ranges of a year or so.
+    keep = [c for c in df.columns if c != out]
+    read = _with_day(_with_words(df, keep, source), 0, "__start")
+    single = (F.col("__n") != 6) | F.col("__timed")
+    return _settled(read, keep, F.when(single, F.col("__start")), out)
+
+
+def with_range_start(df: DataFrame, source: Column, out: str) -> DataFrame:
+    """Add the start of a date range; null for ranges of a year or so.
 
     A text that holds a range never falls through to the single-date reading, even
     when the range itself is unusable.
     """
-    s = F.trim(c.cast("string"))
-
-    def start(pattern: str) -> Column:
-        lo = parse_date(F.regexp_extract(s, pattern, 1))
-        hi = parse_date(F.regexp_extract(s, pattern, 2))
-        return F.when(F.datediff(hi, lo) < FULL_YEAR_DAYS, lo)
-
-    iso, named = s.rlike(ISO_RANGE), s.rlike(NAME_RANGE)
-    return F.coalesce(
-        F.when(iso, start(ISO_RANGE)),
-        F.when(named, start(NAME_RANGE)),
-        F.when(~iso & ~named, parse_date(s)),
-    )
+    keep = [c for c in df.columns if c != out]
+    read = _with_day(_with_day(_with_words(df, keep, source), 0, "__start"), 3, "__end")
+    single = (F.col("__n") != 6) | F.col("__timed")
+    short = F.datediff("__end", "__start") < FULL_YEAR_DAYS
+    return _settled(read, keep, F.when(single | short, F.col("__start")), out)
 
 
 def period_start(c: Column, freq: str) -> Column:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(28,4)"
+UNITS = 10_000
+LOW_BITS = 24
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITESPACE = " \t\r\n\x0b\x0c "
 
@@ -37,31 +40,51 @@ def positive_ratio(num: Column, den: Column, digits: int, scale: float | None =
     return ratio(num, F.when(den > 0, den), digits, scale)
 
 
+def finite(c: Column) -> Column:
+    """The value, or null for NaN and the infinities, which carry no amount."""
+    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+
+
 def money(df: DataFrame, name: str) -> Column:
-    """A measure as a fixed-point number, so that sums do not depend on row order.
+    """A measure as a fixed-point number wide enough for values that are sums themselves."""
+    c = F.col(name)
+    return (finite(c) if dict(df.dtypes)[name] in ("double", "float") else c).cast(MONEY)
+
 
-    NaN and the infinities carry no amount and count as missing.
+def parts(df: DataFrame, name: str, where: Column | None = None, wide: bool = False) -> list[Column]:
+    """What to sum, row by row, so that the total does not depend on row order.
+
+    A double becomes a whole number of ten-thousandths, split into a high and a low
+    part: two sums of longs are exact, leave room for any number of rows, and stay in
+    the fast aggregation path, which sums of wide decimals do not. ``wide`` is for
+    values that are totals themselves and may not fit a long.
     """
     kind = dict(df.dtypes)[name]
-    c = F.col(name)
-    if kind.startswith("decimal"):
-        return c
-    if kind in ("double", "float"):
-        finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-        c = F.when(finite, c)
-    return c.cast(MONEY)
+    c = F.col(name) if where is None else F.when(where, F.col(name))
+    if wide:
+        return [F.when(where, money(df, name)) if where is not None else money(df, name)]
+    if kind not in ("double", "float"):
+        return [c]
+    units = F.rint(finite(c) * F.lit(float(UNITS))).cast("bigint")
+    return [F.shiftright(units, LOW_BITS), units.bitwiseAND(F.lit(2**LOW_BITS - 1))]
+
+
+def joined(sums: Sequence[Column]) -> Column:
+    """The total as DOUBLE from the sums of its parts; 0 when there was nothing to add."""
+    if len(sums) == 1:
+        return F.coalesce(sums[0], F.lit(0)).cast("double")
+    high, low = (F.coalesce(c, F.lit(0)).cast("decimal(20,0)") for c in sums)
+    step = Decimal(2**LOW_BITS) / UNITS
+    return (high * F.lit(step) + low * F.lit(Decimal(1) / UNITS)).cast("double")
 
 
-def total(df: DataFrame, name: str, where: Column | None = None) -> Column:
-    """Aggregate: exact sum of a measure as DOUBLE, 0 when there is nothing to add."""
-    m = money(df, name)
-    if where is not None:
-        m = F.when(where, m)
-    return F.coalesce(F.sum(m), F.lit(0)).cast("double")
+def total(df: DataFrame, name: str, where: Column | None = None, wide: bool = False) -> Column:
+    """Aggregate: exact sum of a measure as DOUBLE."""
+    return joined([F.sum(p) for p in parts(df, name, where, wide)])
 
 
-def totals(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    return [total(df, n).alias(n) for n in have(df, names)]
+def totals(df: DataFrame, names: Sequence[str], wide: bool = False) -> list[Column]:
+    return [total(df, n, wide=wide).alias(n) for n in have(df, names)]
 
 
 def above_zero(c: Column) -> Column:
@@ -71,5 +94,5 @@ def above_zero(c: Column) -> Column:
 
 def text_to_number(c: Column) -> Column:
     """``$1,234.50`` -> 1234.5, ``12.5%`` -> 12.5; anything that is not a number -> null."""
-    bare = F.btrim(F.regexp_replace(c, r"[$%,]", ""), F.lit(WHITESPACE))
+    bare = F.btrim(F.translate(c, "$%,", ""), F.lit(WHITESPACE))
     return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adplan.functions.numeric import have, positive_ratio, ratio, total, totals
+from adplan.functions.numeric import have, joined, parts, positive_ratio, ratio, total, totals
 from adplan.functions.schema import (
     CAMPAIGN_DIMENSIONS,
     CORE_MEASURES,
@@ -17,23 +17,36 @@ from adplan.functions.schema import (
 )
 from adplan.operators.attach import attach
 from adplan.operators.ratios import add_ntb_pct, add_ratios
+from adplan.operators.summary import IDLE, summarise
 from adplan.operators.topk import ranked, top_n
 
 
 def breakdown(df: DataFrame, dim: str, measures: Sequence[str] = CORE_MEASURES,
               by: Sequence[str] = (), attributes: Sequence[str] = (),
               keep_null: bool = False) -> DataFrame:
-    """Sum the present measures by one dimension, in one aggregation.
+    """Sum the present measures by one dimension.
 
     ``attributes`` adds one value per key (the smallest non-null one, which does not
     depend on row order). Rows without a key are left out unless ``keep_null`` is set.
     With no measure present the result is the list of keys.
     """
     rows = df if keep_null else df.filter(F.col(dim).isNotNull())
-    aggs = totals(df, measures) + [F.min(a).alias(a) for a in have(df, attributes) if a not in (*by, dim)]
-    if not aggs:
-        return rows.select(*by, dim).distinct()
-    return rows.groupBy(*by, dim).agg(*aggs)
+    keys = [*by, dim]
+    texts = [a for a in have(df, attributes) if a not in keys]
+    names = have(df, measures)
+    if not texts and not names:
+        return rows.select(*keys).distinct()
+    if not texts:
+        return rows.groupBy(*keys).agg(*totals(df, names))
+    # Text minima keep Spark from aggregating by hash. Grouping by the texts first leaves
+    # about one row per key for the aggregation that takes the minima.
+    pieces = {n: parts(df, n) for n in names}
+    first = rows.groupBy(*keys, *texts).agg(
+        *[F.sum(p).alias(f"{n}__{i}") for n, ps in pieces.items() for i, p in enumerate(ps)]) \
+        if names else rows.select(*keys, *texts).distinct()
+    return first.groupBy(*keys).agg(
+        *[joined([F.sum(f"{n}__{i}") for i in range(len(ps))]).alias(n) for n, ps in pieces.items()],
+        *[F.min(a).alias(a) for a in texts])
 
 
 def sorted_by(df: DataFrame, metric: str, key: str) -> DataFrame:
@@ -119,37 +132,12 @@ def bulk_dimensions(df: DataFrame) -> dict[str, str]:
 def all_breakdowns(df: DataFrame) -> DataFrame:
     """Five breakdowns in one scan and one shuffle, as one long table.
 
-    Result: ``dimension, key`` and the measures with their ratios. Each row meets every
-    dimension once as a (dimension, key) pair; partial aggregation folds the pairs before
-    they move. Write it ``partitionBy("dimension")`` to read single breakdowns back.
+    Result: ``dimension, key`` and the measures with their ratios. Partial aggregation
+    folds the rows of each grouping set before they move. Write it
+    ``partitionBy("dimension")`` to read single breakdowns back.
     """
-    dims = bulk_dimensions(df)
-    pairs = F.array(*[
-        F.struct(F.lit(n).alias("dimension"), F.col(c).cast("string").alias("key")) for n, c in dims.items()
-    ])
-    measures = have(df, FULL_MEASURES)
-    long = df.select(F.explode(pairs).alias("p"), *measures).select("p.*", *measures)
-    long = long.filter(F.col("key").isNotNull())
-    return add_ratios(long.groupBy("dimension", "key").agg(*totals(long, measures)))
-
-
-def all_breakdowns_sets(df: DataFrame) -> DataFrame:
-    """:func:`all_breakdowns` through GROUPING SETS."""
-    dims = bulk_dimensions(df)
-    cols = [F.col(c) for c in dims.values()]
-    measures = have(df, FULL_MEASURES)
-    grouped = df.groupingSets([[c] for c in cols], *cols).agg(
-        F.grouping_id().alias("__gid"), *totals(df, measures))
-    n = len(cols)
-    name = key = None
-    for i, (label, c) in enumerate(dims.items()):
-        gid = (2**n - 1) - 2 ** (n - 1 - i)
-        hit = F.col("__gid") == F.lit(gid)
-        value = F.col(c).cast("string")
-        name = F.when(hit, label) if name is None else name.when(hit, label)
-        key = F.when(hit, value) if key is None else key.when(hit, value)
-    out = grouped.select(name.alias("dimension"), key.alias("key"), *measures)
-    return add_ratios(out.filter(F.col("key").isNotNull()))
+    long = summarise(df, bulk_dimensions(df), measures=FULL_MEASURES, account=False)
+    return add_ratios(long.drop(IDLE))
 
 
 # --- heads of the search-term and product tables -------------------------------------

@@ -21,13 +21,19 @@ from adplan.functions.schema import (
 )
 
 
-def normalise_columns(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+def normalise_columns(df: DataFrame, aliases: Mapping[str, str], blank_tokens: bool = False) -> DataFrame:
     """Rename headers to canonical names in one projection.
 
     Headers are trimmed and lower-cased first; unknown ones pass through under that
     name. Several headers of one canonical column merge: first non-null in header order.
+    ``blank_tokens`` turns the no-value tokens of text cells into nulls before that.
     """
     positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    if blank_tokens:
+        positional = positional.select([
+            text.blank_to_null(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
+            for f in positional.schema.fields
+        ])
     sources: dict[str, list[str]] = defaultdict(list)
     for i, header in enumerate(df.columns):
         name = header.lstrip("﻿").strip().lower()
@@ -38,14 +44,6 @@ def normalise_columns(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     ])
 
 
-def null_tokens(df: DataFrame) -> DataFrame:
-    """Turn the no-value tokens of every text column into nulls."""
-    return df.select([
-        text.blank_to_null(df[f.name]).alias(f.name) if isinstance(f.dataType, StringType) else df[f.name]
-        for f in df.schema.fields
-    ])
-
-
 def clean_numeric(df: DataFrame) -> DataFrame:
     """Known numeric columns to DOUBLE: currency and percent signs stripped, junk to null."""
     out = []
@@ -103,8 +101,7 @@ def vendor_period_to_date(df: DataFrame) -> DataFrame:
 
 def parse_ads(df: DataFrame, infer: bool = True) -> DataFrame:
     """Raw advertising report -> canonical typed table."""
-    out = (df.transform(normalise_columns, ADS_ALIASES)
-             .transform(null_tokens)
+    out = (df.transform(normalise_columns, ADS_ALIASES, True)
              .transform(normalise_campaign_type)
              .transform(clean_numeric))
     return infer_numeric(out) if infer else out
@@ -112,8 +109,7 @@ def parse_ads(df: DataFrame, infer: bool = True) -> DataFrame:
 
 def parse_vendor(df: DataFrame, infer: bool = True) -> DataFrame:
     """Raw vendor sales report -> canonical typed table."""
-    out = (df.transform(normalise_columns, VENDOR_ALIASES)
-             .transform(null_tokens)
+    out = (df.transform(normalise_columns, VENDOR_ALIASES, True)
              .transform(vendor_period_to_date)
              .transform(clean_numeric))
     return infer_numeric(out) if infer else out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adplan.functions import labels
-from adplan.functions.numeric import have, money, positive_ratio, ratio, rnd, total
+from adplan.functions.numeric import finite, have, positive_ratio, ratio, rnd, total
 
 ADS_TOTALS = {
     "impressions": "total_impressions",
@@ -29,17 +29,18 @@ VENDOR_TOTALS = {
 }
 
 
-def _sum_all(df: DataFrame, names: dict[str, str], by: Sequence[str], *extra: Column) -> DataFrame:
+def _sum_all(df: DataFrame, names: dict[str, str], by: Sequence[str], *extra: Column,
+             wide: bool = False) -> DataFrame:
     present = have(df, names)
     absent = [v for k, v in names.items() if k not in present]
-    aggs = [total(df, n).alias(names[n]) for n in present] or [F.count(F.lit(1)).alias("__rows")]
+    aggs = [total(df, n, wide=wide).alias(names[n]) for n in present] or [F.count(F.lit(1)).alias("__rows")]
     summed = (df.groupBy(*by) if by else df).agg(*aggs, *extra)
     return summed.withColumns({v: F.lit(0.0) for v in absent}) if absent else summed
 
 
-def ads_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Eight sums and the ratios over them."""
-    s = _sum_all(df, ADS_TOTALS, by)
+def ads_kpis(df: DataFrame, by: Sequence[str] = (), wide: bool = False) -> DataFrame:
+    """Eight sums and the ratios over them. ``wide``: the rows are sums already."""
+    s = _sum_all(df, ADS_TOTALS, by, wide=wide)
     spend, sales, clicks = F.col("total_spend"), F.col("total_ad_sales"), F.col("total_clicks")
     impressions, orders = F.col("total_impressions"), F.col("total_ad_orders")
     ntb, longterm = F.col("total_ad_orders_ntb"), F.col("total_ad_sales_longterm")
@@ -67,7 +68,7 @@ def vendor_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     revenue per unit.
     """
     direct = "avg_selling_price" in df.columns
-    mean = F.sum(money(df, "avg_selling_price")).cast("double") / F.count(money(df, "avg_selling_price")) \
+    mean = F.try_divide(total(df, "avg_selling_price"), F.count(finite(F.col("avg_selling_price").cast("double")))) \
         if direct else None
     s = _sum_all(df, VENDOR_TOTALS, by, *([mean.alias("__asp")] if direct else []))
     revenue, units = F.col("total_ordered_revenue"), F.col("total_ordered_units")

@@ -8,19 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adplan.functions.dates import parse_date, parse_date_range, period_start
+from adplan.functions.dates import period_start, with_date, with_range_start
 from adplan.functions.numeric import have, ratio, rnd, total, totals
 from adplan.functions.schema import CORE_MEASURES, DATE_COLUMNS
 from adplan.operators.ratios import add_ctr, add_ratios
 
 
-def _date_of(df: DataFrame, name: str) -> Column:
+def _with_date_of(df: DataFrame, name: str, out: str) -> DataFrame:
     kind = dict(df.dtypes)[name]
-    if kind == "date":
-        return F.col(name)
-    if kind.startswith("timestamp"):
-        return F.col(name).cast("date")
-    return parse_date_range(F.col(name)) if name == "date_range" else parse_date(F.col(name))
+    if kind == "date" or kind.startswith("timestamp"):
+        return df.withColumn(out, F.col(name).cast("date"))
+    read = with_range_start if name == "date_range" else with_date
+    return read(df, F.col(name), out)
 
 
 def date_column(df: DataFrame) -> str | None:
@@ -32,7 +31,10 @@ def date_column(df: DataFrame) -> str | None:
     names = have(df, [*DATE_COLUMNS, "date_range"])
     if len(names) <= 1:
         return names[0] if names else None
-    seen = df.agg(*[F.count(_date_of(df, n)).alias(n) for n in names]).first()
+    read = df.select(*names)
+    for n in names:
+        read = _with_date_of(read, n, f"__{n}")
+    seen = read.agg(*[F.count(f"__{n}").alias(n) for n in names]).first()
     return next((n for n in names if seen[n] > 0), None)
 
 
@@ -41,7 +43,7 @@ def resolve_date(df: DataFrame, date_col: str | None = None, out: str = "date")
     name = date_col or date_column(df)
     if name is None:
         raise ValueError("the report has no usable date column")
-    return df.withColumn(out, _date_of(df, name)).filter(F.col(out).isNotNull())
+    return _with_date_of(df, name, out).filter(F.col(out).isNotNull())
 
 
 def trend(df: DataFrame, freq: str = "W", by: Sequence[str] = (), date_col: str | None = None,
@@ -106,7 +108,7 @@ def monthly_actuals(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     names = have(series, CORE_MEASURES)
     months = (series.groupBy(*by, F.year("period_start").alias("year"), F.month("period_start").alias("month"))
-              .agg(*totals(series, names)))
+              .agg(*totals(series, names, wide=True)))
     if by:
         latest = F.max("year").over(Window.partitionBy(*by))
         months = months.withColumn("__latest", latest)

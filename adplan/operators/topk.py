@@ -36,7 +36,7 @@ def top_n_with_other(df: DataFrame, value: str, metric: str, key: str, n: int =
     head = top_n(positive, metric, n, [key], by).select(*by, F.col(key), F.col(value))
 
     def summed(frame: DataFrame, name: str) -> DataFrame:
-        exact = F.sum(F.col(value).cast("decimal(18,4)")).cast("double").alias(name)
+        exact = F.sum(F.col(value).cast("decimal(28,4)")).cast("double").alias(name)
         return (frame.groupBy(*by) if by else frame).agg(exact)
 
     rest = attach(summed(positive, "whole"), summed(head, "shown"), by, salts=1)

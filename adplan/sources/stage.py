@@ -30,16 +30,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/adplan-{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+def settle(df: DataFrame, label: str = "settled", split: str | None = None) -> DataFrame:
     """Write an intermediate result once and go on from the written table.
 
     For results that are read several times or are costly to recompute. The copy is
     Parquet in the shared folder, so column pruning still works and a lost executor
-    costs no recomputation.
+    costs no recomputation. ``split`` names a column of few values to make folders of, so
+    that reading one value skips the rest.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(split) if split else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
