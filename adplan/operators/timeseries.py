@@ -26,16 +26,16 @@ def date_column(df: DataFrame) -> str | None:
     """The date column to use for the whole table: the first, in order of preference,
     that holds any readable date.
 
-    One aggregation decides when there is a choice; with a single candidate none runs.
+    A probe stops at the first readable date it meets, so a good column costs next to
+    nothing however large the table is; only columns without any are read to the end. The
+    last candidate needs no probe.
     """
     names = have(df, [*DATE_COLUMNS, "date_range"])
-    if len(names) <= 1:
-        return names[0] if names else None
-    read = df.select(*names)
-    for n in names:
-        read = _with_date_of(read, n, f"__{n}")
-    seen = read.agg(*[F.count(f"__{n}").alias(n) for n in names]).first()
-    return next((n for n in names if seen[n] > 0), None)
+    for name in names[:-1]:
+        read = _with_date_of(df.select(name), name, "__date")
+        if not read.filter(F.col("__date").isNotNull()).isEmpty():
+            return name
+    return names[-1] if names else None
 
 
 def resolve_date(df: DataFrame, date_col: str | None = None, out: str = "date") -> DataFrame:
