@@ -103,7 +103,8 @@ def ad_product_breakdown(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     known = df.filter(F.col("campaign_type").isNotNull())
     whole = (known.groupBy(*by) if by else known).agg(total(df, "spend").alias("__whole"))
     share = F.coalesce(positive_ratio(F.col("spend"), F.col("__whole"), 1, 100.0), F.lit(0.0))
-    out = attach(out, whole, by).withColumn("spend_share_pct", share).drop("__whole")
+    # An entity has as many rows as there are ad products: nothing to spread.
+    out = attach(out, whole, by, salts=1).withColumn("spend_share_pct", share).drop("__whole")
     return sorted_by(out, "spend", "ad_product")
 
 

@@ -43,13 +43,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
         for i, (name, p) in enumerate(probs.items())
     ])
     sized = (rows.groupBy(*by) if by else rows).agg(n.alias("n"), brackets.alias("brackets"))
-    seen = attach(rows, sized, by)
+    # One row per distinct value, so that a value shared by many rows weighs no more than others.
+    seen = attach(rows.groupBy(*by, "v").agg(n.alias("c")), sized, by)
 
     # Per entity and quantile: rows below the bracket, and a count per value inside it.
     marked = seen.withColumn("b", F.explode("brackets")).filter(F.col("v") <= F.col("b.hi"))
     below = F.col("v") < F.col("b.lo")
     counted = (marked.withColumn("at", F.when(~below, F.col("v")))
-               .groupBy(*by, "b.name", "b.p", "n", "at").agg(F.count(F.lit(1)).alias("c")))
+               .groupBy(*by, "b.name", "b.p", "n", "at").agg(F.sum("c").alias("c")))
     upto = F.sum("c").over(Window.partitionBy(*by, "name").orderBy(F.col("at").asc_nulls_first())
                            .rowsBetween(Window.unboundedPreceding, 0))
     spot = F.col("p") * (F.col("n") - 1)

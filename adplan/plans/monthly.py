@@ -44,7 +44,8 @@ def monthly_plan(plan: DataFrame, actuals: DataFrame | None, split: Mapping[str,
         entry = F.struct(F.col("month").cast("int"),
                          F.struct(value("spend"), value("ad_sales"), value("impressions")))
         packed = F.map_from_entries(F.collect_list(entry)).alias("actuals")
-        scen = attach(scen, (actuals.groupBy(*by) if by else actuals).agg(packed), by)
+        # An entity has as many rows as there are scenarios: nothing to spread.
+        scen = attach(scen, (actuals.groupBy(*by) if by else actuals).agg(packed), by, salts=1)
 
     rows = scen.withColumn("c", F.explode(calendar_rows()))
     rows = rows.withColumn("a", F.try_element_at("actuals", F.col("c.month")))

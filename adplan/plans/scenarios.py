@@ -197,7 +197,8 @@ def project_secondary(plan: DataFrame, kpis: DataFrame, by: Sequence[str] = ())
     facts = kpis.select(*by, *[F.col(c) for c in (
         "total_spend", "total_clicks", "total_impressions", "total_ad_orders",
         "overall_cpc", "overall_ctr", "conversion_rate", "cost_per_order")])
-    both = attach(plan.select(*by, "scenario_id", "recommended_spend"), facts, by)
+    # An entity has as many rows as there are scenarios: nothing to spread.
+    both = attach(plan.select(*by, "scenario_id", "recommended_spend"), facts, by, salts=1)
     zero = F.lit(0.0)
     grow = F.when(F.col("total_spend") > 0, F.col("recommended_spend") / F.col("total_spend")).otherwise(1.0)
     orders = F.rint(F.col("total_ad_orders") * grow)
