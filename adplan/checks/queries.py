@@ -268,8 +268,8 @@ def delta(spark, d):
     ads = inp.ads(spark, d)
 
     def spend_in(year: int):
-        there = F.year("report_date") == year
-        return F.when(F.count_if(there) > 0, total(ads, "spend", there))
+        there = f"year(report_date) = {year}"
+        return F.when(F.count_if(F.expr(there)) > 0, total(ads, "spend", there))
 
     per = ads.groupBy("campaign_name").agg(spend_in(1997).alias("new"), spend_in(1996).alias("old"))
     pct = labels.delta(F.col("new"), F.col("old"), higher_is_better=False)

@@ -45,42 +45,41 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
-def money(df: DataFrame, name: str) -> Column:
-    """A measure as a fixed-point number wide enough for values that are sums themselves."""
-    c = F.col(name)
-    return (finite(c) if dict(df.dtypes)[name] in ("double", "float") else c).cast(MONEY)
-
-
-def parts(df: DataFrame, name: str, where: Column | None = None, wide: bool = False) -> list[Column]:
-    """What to sum, row by row, so that the total does not depend on row order.
+def parts(df: DataFrame, name: str, where: str | None = None, wide: bool = False) -> list[str]:
+    """What to sum, row by row, so that the total does not depend on row order (as SQL).
 
     A double becomes a whole number of ten-thousandths, split into a high and a low
     part: two sums of longs are exact, leave room for any number of rows, and stay in
     the fast aggregation path, which sums of wide decimals do not. ``wide`` is for
     values that are totals themselves and may not fit a long.
     """
-    kind = dict(df.dtypes)[name]
-    c = F.col(name) if where is None else F.when(where, F.col(name))
+    c = f"`{name}`"
+    real = dict(df.dtypes)[name] in ("double", "float")
+    if real:
+        c = f"if(isnan({c}) or abs({c}) = double('infinity'), null, {c})"
     if wide:
-        return [F.when(where, money(df, name)) if where is not None else money(df, name)]
-    if kind not in ("double", "float"):
-        return [c]
-    units = F.rint(finite(c) * F.lit(float(UNITS))).cast("bigint")
-    return [F.shiftright(units, LOW_BITS), units.bitwiseAND(F.lit(2**LOW_BITS - 1))]
-
-
-def joined(sums: Sequence[Column]) -> Column:
-    """The total as DOUBLE from the sums of its parts; 0 when there was nothing to add."""
-    if len(sums) == 1:
-        return F.coalesce(sums[0], F.lit(0)).cast("double")
-    high, low = (F.coalesce(c, F.lit(0)).cast("decimal(20,0)") for c in sums)
+        out = [f"cast({c} as {MONEY})"]
+    elif not real:
+        out = [c]
+    else:
+        units = f"cast(rint({c} * {UNITS}D) as bigint)"
+        out = [f"shiftright({units}, {LOW_BITS})", f"({units} & {2**LOW_BITS - 1})"]
+    return out if where is None else [f"if({where}, {p}, null)" for p in out]
+
+
+def joined(sums: Sequence[str]) -> Column:
+    """The total as DOUBLE from the sums (as SQL) of its parts; 0 when there was nothing to add."""
+    whole = [f"coalesce({s}, 0)" for s in sums]
+    if len(whole) == 1:
+        return F.expr(f"cast({whole[0]} as double)")
+    high, low = (f"cast({w} as decimal(20,0))" for w in whole)
     step = Decimal(2**LOW_BITS) / UNITS
-    return (high * F.lit(step) + low * F.lit(Decimal(1) / UNITS)).cast("double")
+    return F.expr(f"cast({high} * {step}BD + {low} * {Decimal(1) / UNITS}BD as double)")
 
 
-def total(df: DataFrame, name: str, where: Column | None = None, wide: bool = False) -> Column:
-    """Aggregate: exact sum of a measure as DOUBLE."""
-    return joined([F.sum(p) for p in parts(df, name, where, wide)])
+def total(df: DataFrame, name: str, where: str | None = None, wide: bool = False) -> Column:
+    """Aggregate: exact sum of a measure as DOUBLE, of the rows that meet a condition."""
+    return joined([f"sum({p})" for p in parts(df, name, where, wide)])
 
 
 def totals(df: DataFrame, names: Sequence[str], wide: bool = False) -> list[Column]:

@@ -42,10 +42,10 @@ def breakdown(df: DataFrame, dim: str, measures: Sequence[str] = CORE_MEASURES,
     # about one row per key for the aggregation that takes the minima.
     pieces = {n: parts(df, n) for n in names}
     first = rows.groupBy(*keys, *texts).agg(
-        *[F.sum(p).alias(f"{n}__{i}") for n, ps in pieces.items() for i, p in enumerate(ps)]) \
+        *[F.expr(f"sum({p})").alias(f"{n}__{i}") for n, ps in pieces.items() for i, p in enumerate(ps)]) \
         if names else rows.select(*keys, *texts).distinct()
     return first.groupBy(*keys).agg(
-        *[joined([F.sum(f"{n}__{i}") for i in range(len(ps))]).alias(n) for n, ps in pieces.items()],
+        *[joined([f"sum(`{n}__{i}`)" for i in range(len(ps))]).alias(n) for n, ps in pieces.items()],
         *[F.min(a).alias(a) for a in texts])
 
 

@@ -81,7 +81,7 @@ def wasted_spend_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spend on rows without an order, next to all spend."""
     if not {"ad_orders", "spend"} <= set(df.columns):
         raise ValueError("wasted_spend_summary needs ad_orders and spend")
-    idle = F.coalesce(F.col("ad_orders"), F.lit(0)) == 0
+    idle = "coalesce(ad_orders, 0) = 0"
     s = (df.groupBy(*by) if by else df).agg(
         total(df, "spend", idle).alias("wasted"), total(df, "spend").alias("spent"))
     return s.select(

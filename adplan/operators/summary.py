@@ -27,7 +27,7 @@ def summarise(df: DataFrame, dims: Mapping[str, str], by: Sequence[str] = (),
     sets = [[*keys, c] for c in cols] + ([keys] if account else [])
     idle = []
     if {"spend", "ad_orders"} <= set(df.columns):
-        idle = [total(df, "spend", F.coalesce(F.col("ad_orders"), F.lit(0)) == 0).alias(IDLE)]
+        idle = [total(df, "spend", "coalesce(ad_orders, 0) = 0").alias(IDLE)]
     grouped = df.groupingSets(sets, *keys, *cols).agg(
         F.grouping_id().alias("__gid"), *totals(df, measures), *idle)
     # Bit i from the right is 1 where column i from the right was folded away.
