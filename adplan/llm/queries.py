@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adplan.llm import bpe, chat, language, quality, sharding, warc
+from adplan.llm import bpe, chat, language, quality, repeats, sharding, warc
 from adplan.llm.common import table
 
 
@@ -35,6 +35,15 @@ def op4_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("row"))
+    size = F.transform("spans", lambda s: s.end - s.start)
+    return repeats.repeated_spans(docs).select(
+        F.col("row").cast("long").alias("doc_id"), "n_bytes",
+        F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +58,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_transactions, op2_hierarchical_language, op3_weighted_hash_tree, op4_transducer_bpe, op6_decision_list, op9_chat_format,
+    op1_transactions, op2_hierarchical_language, op3_weighted_hash_tree, op4_transducer_bpe,
+    op5_suffix_repeats, op6_decision_list, op9_chat_format,
 )}
