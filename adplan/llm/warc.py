@@ -45,9 +45,10 @@ def plan_captures(pages: DataFrame) -> DataFrame:
              .join(kept.where("n > 1 and target is not null"), "digest")
              .where("page_id is null or page_id < target")
              .groupBy("page_id", "digest").agg(F.max("target").alias("refers_to")))
-    linked = base.join(links.withColumnRenamed("page_id", "_p").withColumnRenamed("digest", "_d"),
-                       F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").drop("_p", "_d")
-    return linked.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
+    # Join and numbering share one key without nulls, so pages move once.
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest").alias("key")
+    linked = base.select("*", key).join(links.select(key, "refers_to"), "key", "left")
+    return linked.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("url")) - 1).drop("key")
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
