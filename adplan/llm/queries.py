@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adplan.llm import bpe, chat, language, nearcopies, quality, repeats, sharding, warc
+from adplan.llm import bpe, chat, contamination, language, licenses, nearcopies, quality, repeats, sharding, warc
 from adplan.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_setsketch_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_components(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(
@@ -61,7 +65,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(probe)))
 
 
+def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_transactions, op2_hierarchical_language, op3_weighted_hash_tree, op4_transducer_bpe,
-    op5_suffix_repeats, op6_decision_list, op7_setsketch_near_copies, op9_chat_format,
+    op5_suffix_repeats, op6_decision_list, op7_setsketch_near_copies,
+    op8_benchmark_passages, op9_chat_format, op10_license_notices,
 )}
