@@ -71,9 +71,11 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     for r in known.select("stride", "hashes").collect():  # a few hundred numbers, given by the templates
         by_stride.setdefault(r.stride, set()).update(r.hashes)
     every = sorted(set().union(*by_stride.values()))
-    hashed = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("_w")).select("doc_id", _hashes(F.col("_w")).alias("_h"))
-    hits = hashed.select("doc_id", F.filter(
-        F.transform("_h", lambda h, i: F.when(h.isin(every), F.struct(i.alias("at"), h.alias("h")))), lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    # Generators keep Catalyst from copying the word and hash arrays into filters and lambda bodies.
+    words = docs.select("doc_id", F.inline(F.array(F.struct(_words(F.coalesce("text", F.lit(""))).alias("_w")))))
+    hashed = words.select("doc_id", F.inline(F.array(F.struct(_hashes(F.col("_w")).alias("_h")))))
+    hits = hashed.select("doc_id", F.inline(F.array(F.struct(F.filter(
+        F.transform("_h", lambda h, i: F.when(h.isin(every), F.struct(i.alias("at"), h.alias("h")))), lambda x: x.isNotNull()).alias("hits")))))
     windows = hits.select("doc_id", "hits", F.explode(F.array(*[F.lit(s) for s in sorted(by_stride)])).alias("stride"))
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(
         F.floor(x.at / F.col("stride")), F.greatest(F.floor(x.at / F.col("stride")) - 1, F.lit(0))))))

@@ -38,15 +38,16 @@ def text_statistics(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     windows = F.when(F.size("_w") >= 3, F.transform(
         F.sequence(F.lit(0), F.size("_w") - 3),
         lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-    counted = base.select(
-        "doc_id", *extra, F.size("_w").cast("long").alias("n_words"), kept(SPACES).alias("word_chars"),
+    # Generators keep Catalyst from copying these expressions into filters and lambda bodies.
+    counted = base.select("doc_id", *extra, F.inline(F.array(F.struct(
+        F.size("_w").cast("long").alias("n_words"), kept(SPACES).alias("word_chars"),
         kept(r"[^#*$%&|<>]+").alias("n_symbols"), kept(r"\P{Lu}+").alias("n_upper"), kept(r"[^!?.,;:]+").alias("n_marks"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"),
-        F.coalesce(windows, F.array().cast("array<bigint>")).alias("_h"))
+        F.coalesce(windows, F.array().cast("array<bigint>")).alias("_h")))))
     repeats = F.when(F.size("_h") == F.size(F.array_distinct("_h")), F.lit(0)).otherwise(_covered(F.col("_h")))
-    return counted.withColumn("n_repeat_words", repeats.cast("long")).drop("_h")
+    return counted.select("*", F.inline(F.array(F.struct(repeats.cast("long").alias("n_repeat_words"))))).drop("_h")
 
 
 def _covered(hashes: Column) -> Column:

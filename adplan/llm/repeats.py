@@ -234,8 +234,10 @@ def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row long-typed key `row`, n_bytes, spans (array of start and end of removed runs), kept (binary), one per row of docs.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """row, n_bytes, spans (array of start and end of removed runs), kept, one per row of docs.
+
+    kept holds the other bytes; with as_text it is a string, without bytes that the cuts left of a character.
 
     docs has key (integer or null), text (string or null) and `row` (string that tells rows apart).
     A byte goes if a LENGTH-byte string that covers it also starts in a text of a smaller key,
@@ -322,7 +324,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def cut(table: pa.Table, messages: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _rows({"row": ([], pa.string()), "n_bytes": ([], pa.int64()), "spans": ([], spans_type), "kept": ([], pa.binary())})
+            return _rows({"row": ([], pa.string()), "n_bytes": ([], pa.int64()), "spans": ([], spans_type), "kept": ([], kept_type)})
         block = Block(table)
         got = messages.to_pylist()
         verdicts = {m["bucket"]: (m["a"], m["b"]) for m in got if m["kind"] == 3}
@@ -349,11 +351,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             mask = gone[begin:end]
             edge = np.flatnonzero(np.diff(np.r_[False, mask, False]))
             spans.append([{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-            kept.append(block.data[begin:end][~mask].tobytes())
+            left = block.data[begin:end][~mask].tobytes()
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             n_bytes.append(end - begin)
             begin = end
-        return pa.table({"row": block.rows, "n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, spans_type), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"row": block.rows, "n_bytes": pa.array(n_bytes, pa.int64()), "spans": pa.array(spans, spans_type), "kept": pa.array(kept, kept_type)})
 
+    kept_type = pa.string() if as_text else pa.binary()
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return grouped.cogroup(shared.unionByName(judged).groupBy("block")).applyInArrow(
-        cut, "row string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        cut, f"row string, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")

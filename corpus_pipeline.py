@@ -31,11 +31,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     row = F.to_json(F.struct("doc_id", "lang", "source", F.col("text").isNull().alias("none")), {"ignoreNullFields": "false"})
     schema = docs.select("doc_id", "lang", "source", F.lit(True).alias("none")).schema
-    cut = repeats.repeated_spans(docs.select("doc_id", "text", row.alias("row")))
-    text = F.when(~F.col("r.none"), F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", ""))
-    whole = F.when(~F.col("r.none"), F.decode(F.col("kept"), "UTF-8"))
-    return cut.select(F.from_json("row", schema).alias("r"), "spans", "kept").select(
-        "r.doc_id", F.when(F.size("spans") > 0, text).otherwise(whole).alias("text"), "r.lang", "r.source",
+    cut = repeats.repeated_spans(docs.select("doc_id", "text", row.alias("row")), as_text=True)
+    return cut.select(F.from_json("row", schema).alias("r"), "kept").select(
+        "r.doc_id", F.when(~F.col("r.none"), F.col("kept")).alias("text"), "r.lang", "r.source",
     ).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
