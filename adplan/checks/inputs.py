@@ -84,12 +84,12 @@ def campaigns(spark: SparkSession, folder: str) -> DataFrame:
     return bd.campaign_breakdown(ads(spark, folder), ordered=False)
 
 
-def products(spark: SparkSession, folder: str) -> DataFrame:
-    return bd.product_breakdown(ads(spark, folder), ordered=False)
+def products(spark: SparkSession, folder: str, one_sided: bool = False) -> DataFrame:
+    return bd.product_breakdown(fixtures.ads(spark, folder, one_sided), ordered=False)
 
 
-def vendor_products(spark: SparkSession, folder: str) -> DataFrame:
-    return bd.asin_vendor_breakdown(vendor(spark, folder), ordered=False)
+def vendor_products(spark: SparkSession, folder: str, one_sided: bool = False) -> DataFrame:
+    return bd.asin_vendor_breakdown(fixtures.vendor(spark, folder, one_sided=one_sided), ordered=False)
 
 
 def health(spark: SparkSession, folder: str) -> DataFrame:

@@ -342,8 +342,8 @@ def dated_rows(spark, d):
 
 @query
 def merge_asin_view(spark, d):
-    return blended.merge_asin_view(bd.asin_ads_breakdown(inp.ads(spark, d), ordered=False),
-                                   inp.vendor_products(spark, d))
+    return blended.merge_asin_view(
+        bd.asin_ads_breakdown(fixtures.ads(spark, d, one_sided=True), ordered=False), inp.vendor_products(spark, d, one_sided=True))
 
 
 @query
@@ -353,7 +353,8 @@ def metadata_attach(spark, d):
 
 @query
 def health_with_vendor(spark, d):
-    return blended.add_vendor_figures(inp.products(spark, d).select("asin", "spend"), inp.vendor_products(spark, d))
+    return blended.add_vendor_figures(inp.products(spark, d, one_sided=True).select("asin", "spend"),
+                                      inp.vendor_products(spark, d, one_sided=True))
 
 
 @query

@@ -19,9 +19,13 @@ def amount(x: str) -> str:
     return f"rint(({x}) * 10000) / 10000"
 
 
-def raw_ads(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line item, shaped like an advertising report; ad products not yet normalised."""
-    lines = table(spark, folder, "lineitem").filter("l_partkey % 7 <> 0")
+def raw_ads(spark: SparkSession, folder: str, one_sided: bool = False) -> DataFrame:
+    """One row per line item, shaped like an advertising report; ad products not yet normalised.
+
+    one_sided leaves some products to the vendor report alone, which is what the outer join is about.
+    """
+    lines = table(spark, folder, "lineitem")
+    lines = lines.filter("l_partkey % 7 <> 0") if one_sided else lines
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -46,13 +50,14 @@ def raw_ads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ads(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise_campaign_type(raw_ads(spark, folder))
+def ads(spark: SparkSession, folder: str, one_sided: bool = False) -> DataFrame:
+    return normalise_campaign_type(raw_ads(spark, folder, one_sided))
 
 
-def vendor(spark: SparkSession, folder: str, with_price: bool = False) -> DataFrame:
-    """One row per line item, shaped like a vendor sales report."""
-    lines = table(spark, folder, "lineitem").filter("l_partkey % 10 <> 0")
+def vendor(spark: SparkSession, folder: str, with_price: bool = False, one_sided: bool = False) -> DataFrame:
+    """One row per line item, shaped like a vendor sales report; one_sided leaves some products to the ads alone."""
+    lines = table(spark, folder, "lineitem")
+    lines = lines.filter("l_partkey % 10 <> 0") if one_sided else lines
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     price = [f"{amount('p_retailprice')} AS avg_selling_price"] if with_price else []
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(

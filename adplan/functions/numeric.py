@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(28,4)"
-UNITS = 10_000
-LOW_BITS = 24
+MONEY = "decimal(28,9)"
+NANOS = 1_000_000_000
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITESPACE = " \t\r\n\x0b\x0c "
 
@@ -48,10 +46,10 @@ def finite(c: Column) -> Column:
 def parts(df: DataFrame, name: str, where: str | None = None, wide: bool = False) -> list[str]:
     """What to sum, row by row, so that the total does not depend on row order (as SQL).
 
-    A double becomes a whole number of ten-thousandths, split into a high and a low
-    part: two sums of longs are exact, leave room for any number of rows, and stay in
-    the fast aggregation path, which sums of wide decimals do not. ``wide`` is for
-    values that are totals themselves and may not fit a long.
+    A double becomes its whole part and the billionths of the rest, these in millionths and a remainder:
+    three sums of longs don't depend on the order of rows, hold totals up to 9.2e18, and stay in the fast
+    aggregation path, which sums of wide decimals do not. ``wide`` is for values that are
+    totals themselves and may not fit a long.
     """
     c = f"`{name}`"
     real = dict(df.dtypes)[name] in ("double", "float")
@@ -62,8 +60,9 @@ def parts(df: DataFrame, name: str, where: str | None = None, wide: bool = False
     elif not real:
         out = [c]
     else:
-        units = f"cast(rint({c} * {UNITS}D) as bigint)"
-        out = [f"shiftright({units}, {LOW_BITS})", f"({units} & {2**LOW_BITS - 1})"]
+        whole = f"floor({c})"
+        nanos = f"cast(rint(({c} - {whole}) * {NANOS}D) as bigint)"
+        out = [whole, f"{nanos} div 1000", f"{nanos} % 1000"]
     return out if where is None else [f"if({where}, {p}, null)" for p in out]
 
 
@@ -72,9 +71,8 @@ def joined(sums: Sequence[str]) -> Column:
     whole = [f"coalesce({s}, 0)" for s in sums]
     if len(whole) == 1:
         return F.expr(f"cast({whole[0]} as double)")
-    high, low = (f"cast({w} as decimal(20,0))" for w in whole)
-    step = Decimal(2**LOW_BITS) / UNITS
-    return F.expr(f"cast({high} * {step}BD + {low} * {Decimal(1) / UNITS}BD as double)")
+    high, middle, low = (f"cast({w} as decimal(20,0))" for w in whole)
+    return F.expr(f"cast({high} + {middle} * 0.000001BD + {low} * 0.000000001BD as double)")
 
 
 def total(df: DataFrame, name: str, where: str | None = None, wide: bool = False) -> Column:
@@ -94,4 +92,4 @@ def above_zero(c: Column) -> Column:
 def text_to_number(c: Column) -> Column:
     """``$1,234.50`` -> 1234.5, ``12.5%`` -> 12.5; anything that is not a number -> null."""
     bare = F.btrim(F.translate(c, "$%,", ""), F.lit(WHITESPACE))
-    return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
+    return finite(F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double")))

@@ -111,3 +111,11 @@ def test_bands(spark):
         None, "Efficient", "Acceptable", "Acceptable", "High", None]
     assert values(spark, [80.0, 79.9, 55.0, 35.0, 34.9], "double", labels.tier) == [
         "Scale", "Optimise", "Optimise", "Review", "Pause"]
+
+
+def test_sums_keep_what_lies_below_a_ten_thousandth(spark):
+    from adplan.functions.numeric import total
+
+    df = spark.range(1_000_000).selectExpr("0.00004D AS x", "-0.75D AS y", "1e12D AS z")
+    row = df.agg(total(df, "x").alias("x"), total(df, "y").alias("y"), total(df, "z").alias("z")).first()
+    assert (row.x, row.y, row.z) == (40.0, -750_000.0, 1e18)
