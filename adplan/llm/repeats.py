@@ -5,15 +5,18 @@ gram (the anchor) among their own. Equal strings have equal anchors, so pieces d
 anchor bring all occurrences of a string together. Three passes over blocks of documents:
 
 1. Blocks send the anchors they hold; anchors of one document only are out of the running.
-2. Blocks send the distinct pieces around the others, each with its smallest document. For every
-   deal of pieces a collection transform and common prefixes are built, one symbol per piece and
-   round; neighbours with a common prefix of 50 bytes are equal strings.
+2. Blocks send the distinct pieces around the others, each with its smallest document. Equal pieces
+   are one. A piece with no other at its anchor has nothing to be compared with; over all others of a
+   deal a collection transform and common prefixes are built, one symbol per piece and round, and
+   neighbours with a common prefix of 50 bytes are equal strings.
 3. Blocks get back, for each window, the smallest document that holds it, and cut.
 """
 
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 #: Bytes of a string that counts as repeated; bytes of an anchor.
 LENGTH, GRAM = 50, 32
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Pieces of one anchor from which on its windows are dealt out by their own bytes.
 HOT_PIECES = 2000
+#: Number of anchor codes; as a code, that of a window that was dealt out by its own bytes.
+CODES = 1 << 24
 
 _NONE = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -51,7 +56,7 @@ def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         h = h[:-step] * odd + (h[step:] ^ (h[step:] >> np.uint64(29)))
     h = _mix(h)
     # The leftmost smallest gram of each window, by doubling.
-    best, at = h, np.arange(len(h), dtype=np.int32)
+    best, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
     width, want = 1, LENGTH - GRAM + 1
     while width < want:
         step = min(width, want - width)
@@ -59,7 +64,7 @@ def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = np.where(later, at[step:], at[:-step])
         best = np.where(later, best[step:], best[:-step])
         width += step
-    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:len(at)]
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[:len(at)]
     windows = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends[text])
     if not len(windows):
         return none, none, none, none.astype(np.uint64)
@@ -82,10 +87,10 @@ class Block:
         self.start, self.n, self.text, self.anchor = pieces_of(self.data, self.ends)
 
     def anchors(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """bucket, hashes (32 bits, sorted), for each: 128 if several documents hold it, plus its distinct pieces up to 127."""
+        """bucket, codes (sorted, packed), for each: 128 if several documents hold it, plus its distinct pieces up to 127."""
         code, bucket = _split(self.anchor, buckets)
         key = bucket.astype(np.uint64) << np.uint64(32) | code
-        order = np.lexsort((self.docs[self.text], key)) if len(key) else np.zeros(0, int)
+        order = np.argsort(key, kind="stable")  # pieces are in order of documents already
         k, d = key[order], self.docs[self.text][order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
         last = np.r_[first[1:], len(k)].astype(int) - 1 if len(k) else first
@@ -94,40 +99,71 @@ class Block:
         of = (unique >> np.uint64(32)).astype(np.int64)
         for b in np.unique(of):
             mine = slice(*np.searchsorted(of, [b, b + 1]))
-            yield int(b), (unique[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), flags[mine].tobytes()
+            yield int(b), pack_codes(unique[mine] & np.uint64(0xFFFFFFFF)), flags[mine].tobytes()
 
-    def candidates(self, buckets: int, marks: dict[int, tuple[bytes, bytes]]) -> dict[int, dict[bytes, list]]:
-        """By bucket: the distinct candidate strings and their occurrences (first window, document); marks from pass 1."""
+    def candidates(self, buckets: int, marks: dict[int, tuple[bytes, bytes]]) -> dict[int, dict[bytes, tuple[int, list]]]:
+        """By bucket: the distinct candidate strings, in order of codes, each with its code and its occurrences
+        (first window, document); marks from pass 1."""
         code, bucket = _split(self.anchor, buckets)
         state = np.zeros(len(code), np.uint8)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | code, kind="stable")
         sorted_buckets = bucket[order]
         for b, (codes, mark) in marks.items():
             mine = order[slice(*np.searchsorted(sorted_buckets, [b, b + 1]))]
-            known, value = np.frombuffer(codes, np.uint32), np.frombuffer(mark, np.uint8)
-            at = np.minimum(np.searchsorted(known, code[mine].astype(np.uint32)), len(known) - 1)
-            state[mine] = np.where(known[at] == code[mine], value[at], 0)
-        out: dict[int, dict[bytes, list]] = {}
-        chosen = np.flatnonzero(state)
-        for s, n, d, hot, b in zip(self.start[chosen].tolist(), self.n[chosen].tolist(), self.docs[self.text[chosen]].tolist(),
-                                   (state[chosen] == 2).tolist(), bucket[chosen].tolist(), strict=True):
-            if hot:
-                for i in range(s, s + n):
-                    piece = self.bytes[i:i + LENGTH]
-                    out.setdefault(hash_bytes(piece) % buckets, {}).setdefault(piece, []).append((i, d))
-            else:
-                out.setdefault(b, {}).setdefault(self.bytes[s:s + n - 1 + LENGTH], []).append((s, d))
+            known, value = unpack_codes(codes), np.frombuffer(mark, np.uint8)
+            at = np.minimum(np.searchsorted(known, code[mine].astype(np.int64)), len(known) - 1)
+            state[mine] = np.where(known[at] == code[mine].astype(np.int64), value[at], 0)
+        out: dict[int, dict[bytes, tuple[int, list]]] = {}
+        for hot in (False, True):
+            chosen = order[state[order] == 1 + hot]
+            for s, n, d, c, b in zip(self.start[chosen].tolist(), self.n[chosen].tolist(), self.docs[self.text[chosen]].tolist(),
+                                     code[chosen].tolist(), bucket[chosen].tolist(), strict=True):
+                if hot:
+                    for i in range(s, s + n):
+                        piece = self.bytes[i:i + LENGTH]
+                        out.setdefault(zlib.crc32(piece) % buckets, {}).setdefault(piece, (CODES, []))[1].append((i, d))
+                else:
+                    out.setdefault(b, {}).setdefault(self.bytes[s:s + n - 1 + LENGTH], (c, []))[1].append((s, d))
         return out
 
 
-def hash_bytes(piece: bytes) -> int:
-    """The same number for the same bytes in every process."""
-    a = np.frombuffer(piece, np.uint8).astype(np.uint64)
-    return int(_mix((_TABLE[a] * np.arange(1, 2 * len(a), 2, dtype=np.uint64)).sum(keepdims=True))[0] >> np.uint64(1))
+def _split(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return anchor % np.uint64(CODES), ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return anchor & np.uint64(0xFFFFFFFF), ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Ascending whole numbers as 16-bit steps; a step of 65535 or more has one filler for each 65535."""
+    step = np.diff(codes.astype(np.int64), prepend=0)
+    fillers = step // 65535
+    out = np.full(len(step) + int(fillers.sum()), 65535, np.uint16)
+    out[np.arange(len(step)) + np.cumsum(fillers)] = step % 65535
+    return out.tobytes()
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+
+
+def pack_longs(values: np.ndarray) -> bytes:
+    """Longs as their least and the distances from it, in as few bytes each as hold the largest."""
+    least = values.min()
+    far = values.astype(np.uint64) - np.uint64(least.astype(np.uint64))
+    kind = np.min_scalar_type(int(far.max()))
+    return bytes([kind.itemsize]) + least.astype(np.int64).tobytes() + far.astype(kind).tobytes()
+
+
+def unpack_longs(packed: bytes) -> np.ndarray:
+    far = np.frombuffer(packed, f"u{packed[0]}", offset=9).astype(np.uint64)
+    return (far + np.frombuffer(packed, np.int64, 1, 1).astype(np.uint64)).astype(np.int64)
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 class ExternalColumn:
@@ -208,6 +244,8 @@ def _first_column(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def smallest_holders(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each distinct piece: the smallest document of each of its windows, among all pieces."""
     n = len(pieces)
+    if not n:
+        return []
     b, common = collection_transform(pieces)
     _, rank = _first_column(b)
     length = np.array([len(p) for p in pieces])
@@ -248,7 +286,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(12, size // BLOCK_BYTES + 1)
-    buckets = 2 * blocks
+    buckets = blocks
     # This exchange is planned once and read by all three passes.
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc", "row"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     grouped = dealt.groupBy("block")
@@ -260,7 +298,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
 
     def find_shared(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        codes = [np.frombuffer(x, np.uint32) for x in table["codes"].to_pylist()]
+        codes = [unpack_codes(x) for x in table["codes"].to_pylist()]
         flags = np.concatenate([np.frombuffer(x, np.uint8) for x in table["flags"].to_pylist()])
         unique, at, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
         several = np.bincount(at, flags >= 128, len(unique)) > 0
@@ -270,7 +308,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         for row, c in zip(table.select(["block", "bucket"]).to_pylist(), codes, strict=True):
             mine, begin = mark[at[begin:begin + len(c)]], begin + len(c)
             if mine.any():
-                out.append((row["block"], row["bucket"], c[mine > 0].tobytes(), mine[mine > 0].tobytes()))
+                out.append((row["block"], row["bucket"], pack_codes(c[mine > 0]), mine[mine > 0].tobytes()))
         return _message(out, 1)
 
     def _message(rows: list[tuple[int, int, bytes, bytes]], kind: int) -> pa.Table:
@@ -289,34 +327,47 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         if table.num_rows and messages.num_rows:
             number = table["block"][0].as_py()
             for bucket, found in Block(table).candidates(buckets, marks_of(messages.to_pylist())).items():
-                least = np.array([min(d for _, d in at) for at in found.values()], np.int64)
-                sizes = np.array([len(p) for p in found], np.uint8)
-                rows.append((number, bucket, sizes.tobytes() + b"".join(found), least.tobytes()))
+                least = np.array([min(d for _, d in at) for _, at in found.values()], np.int64)
+                codes = pack_codes(np.array([c for c, _ in found.values()]))
+                sizes = bytes(len(p) for p in found)
+                rows.append((number, bucket, squeeze(sizes + b"".join(found)),
+                             len(codes).to_bytes(4, "little") + codes + pack_longs(least)))
         return _message(rows, 2)
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         least: dict[bytes, int] = {}
+        code_of: dict[bytes, int] = {}
         sent = []
         for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
-            holders = np.frombuffer(b, np.int64).tolist()
+            cut_at = 4 + int.from_bytes(b[:4], "little")
+            codes, holders, a = unpack_codes(b[4:cut_at]).tolist(), unpack_longs(b[cut_at:]).tolist(), unsqueeze(a)
             sizes, at, own = a[:len(holders)], len(holders), []
-            for size, doc in zip(sizes, holders, strict=True):
+            for size, doc, code in zip(sizes, holders, codes, strict=True):
                 piece = a[at:at + size]
                 at += size
                 own.append(piece)
-                least[piece] = min(least.get(piece, _NONE), doc)
+                if doc < least.setdefault(piece, doc):
+                    least[piece] = doc
+                code_of[piece] = code
             sent.append(own)
-        windows = dict(zip(least, smallest_holders(list(least), np.array(list(least.values()), np.int64)), strict=True))
+        at_anchor = Counter(code_of.values())
+        at_anchor[CODES] = 1  # such a window is whole, and equal to itself only
+        several = [p for p, c in code_of.items() if at_anchor[c] > 1]
+        windows = dict(zip(several, smallest_holders(several, np.array([least[p] for p in several], np.int64)), strict=True))
         out = []
         for row, own in zip(table.select(["block", "bucket"]).to_pylist(), sent, strict=True):
             lengths, values = [], []
             for piece in own:
-                w = windows[piece]
+                w = windows.get(piece)
+                if w is None:
+                    lengths.append(bytes([1, len(piece) - LENGTH + 1]))
+                    values.append(least[piece])
+                    continue
                 first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
                 lengths.append(bytes([len(first)]) + np.diff(np.r_[first, len(w)]).astype(np.uint8).tobytes())
-                values.append(w[first])
-            out.append((row["block"], row["bucket"], b"".join(lengths), np.concatenate(values).tobytes()))
+                values.extend(w[first].tolist())
+            out.append((row["block"], row["bucket"], b"".join(lengths), pack_longs(np.array(values, np.int64))))
         return _message(out, 3)
 
     judged = (grouped.cogroup(shared.groupBy("block")).applyInArrow(send_pieces, message)
@@ -331,8 +382,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         cover = np.zeros(len(block.data) + 1, np.int32)
         for bucket, found in block.candidates(buckets, marks_of(got)).items():
             lengths, values = verdicts[bucket]
-            values, at, v = np.frombuffer(values, np.int64).tolist(), 0, 0
-            for places in found.values():
+            values, at, v = unpack_longs(values).tolist(), 0, 0
+            for _, places in found.values():
                 runs = lengths[at]
                 spans, offset = [], 0
                 for k in range(runs):
