@@ -6,9 +6,10 @@ anchor bring all occurrences of a string together. Three passes over blocks of d
 
 1. Blocks send the anchors they hold; anchors of one document only are out of the running.
 2. Blocks send the distinct pieces around the others, each with its smallest document. Equal pieces
-   are one. A piece with no other at its anchor has nothing to be compared with; over all others of a
-   deal a collection transform and common prefixes are built, one symbol per piece and round, and
-   neighbours with a common prefix of 50 bytes are equal strings.
+   are one. A string of 50 bytes reaches 9 or more beyond its anchor on one side, so a piece that
+   agrees so far with no other piece has nothing to be compared with. Over all others of a deal a
+   collection transform and common prefixes are built, one symbol per piece and round, and neighbours
+   with a common prefix of 50 bytes are equal strings.
 3. Blocks get back, for each window, the smallest document that holds it, and cut.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a string that counts as repeated; bytes of an anchor.
 LENGTH, GRAM = 50, 32
+#: Bytes by which a string reaches beyond its anchor on at least one side.
+SIDE = (LENGTH - GRAM + 1) // 2
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 4 << 20
 #: Pieces of one anchor from which on its windows are dealt out by their own bytes.
@@ -45,11 +48,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts that end at `ends` in data: first window, number of windows, text number and anchor hash of each piece."""
+def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts that end at `ends` in data: first window, number of windows, text number, anchor's place in the piece and anchor hash of each piece."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     h = _TABLE[data]
     for k, odd in enumerate(_ODD):  # grams of 2, 4, 8, 16, 32 bytes
         step = 1 << k
@@ -67,10 +70,10 @@ def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[:len(at)]
     windows = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends[text])
     if not len(windows):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     a, t = at[windows], text[windows]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
-    return windows[first].astype(np.int64), np.diff(np.r_[first, len(windows)]), t[first], h[a[first]]
+    return windows[first].astype(np.int64), np.diff(np.r_[first, len(windows)]), t[first], a[first] - windows[first], h[a[first]]
 
 
 class Block:
@@ -84,7 +87,7 @@ class Block:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.bytes = self.data.tobytes()
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.start, self.n, self.text, self.anchor = pieces_of(self.data, self.ends)
+        self.start, self.n, self.text, self.offset, self.anchor = pieces_of(self.data, self.ends)
 
     def anchors(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
         """bucket, codes (sorted, packed), for each: 128 if several documents hold it, plus its distinct pieces up to 127."""
@@ -101,9 +104,9 @@ class Block:
             mine = slice(*np.searchsorted(of, [b, b + 1]))
             yield int(b), pack_codes(unique[mine] & np.uint64(0xFFFFFFFF)), flags[mine].tobytes()
 
-    def candidates(self, buckets: int, marks: dict[int, tuple[bytes, bytes]]) -> dict[int, dict[bytes, tuple[int, list]]]:
-        """By bucket: the distinct candidate strings, in order of codes, each with its code and its occurrences
-        (first window, document); marks from pass 1."""
+    def candidates(self, buckets: int, marks: dict[int, tuple[bytes, bytes]]) -> dict[int, dict[bytes, tuple[int, int, list]]]:
+        """By bucket: the distinct candidate strings, in order of codes, each with its code, its anchor's place
+        and its occurrences (first window, document); marks from pass 1."""
         code, bucket = _split(self.anchor, buckets)
         state = np.zeros(len(code), np.uint8)
         order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | code, kind="stable")
@@ -113,20 +116,28 @@ class Block:
             known, value = unpack_codes(codes), np.frombuffer(mark, np.uint8)
             at = np.minimum(np.searchsorted(known, code[mine].astype(np.int64)), len(known) - 1)
             state[mine] = np.where(known[at] == code[mine].astype(np.int64), value[at], 0)
-        out: dict[int, dict[bytes, tuple[int, list]]] = {}
+        out: dict[int, dict[bytes, tuple[int, int, list]]] = {}
         for hot in (False, True):
             chosen = order[state[order] == 1 + hot]
-            for s, n, d, c, b in zip(self.start[chosen].tolist(), self.n[chosen].tolist(), self.docs[self.text[chosen]].tolist(),
-                                     code[chosen].tolist(), bucket[chosen].tolist(), strict=True):
+            for s, n, d, c, at, b in zip(self.start[chosen].tolist(), self.n[chosen].tolist(), self.docs[self.text[chosen]].tolist(),
+                                     code[chosen].tolist(), self.offset[chosen].tolist(), bucket[chosen].tolist(), strict=True):
                 if hot:
                     for i in range(s, s + n):
                         piece = self.bytes[i:i + LENGTH]
-                        out.setdefault(zlib.crc32(piece) % buckets, {}).setdefault(piece, (CODES, []))[1].append((i, d))
+                        out.setdefault(zlib.crc32(piece) % buckets, {}).setdefault(piece, (CODES, 0, []))[2].append((i, d))
                 else:
-                    out.setdefault(b, {}).setdefault(self.bytes[s:s + n - 1 + LENGTH], (c, []))[1].append((s, d))
+                    out.setdefault(b, {}).setdefault(self.bytes[s:s + n - 1 + LENGTH], (c, at, []))[2].append((s, d))
         return out
 
 
+def sides_of(piece: bytes, at: int) -> Iterator[tuple[bool, bytes]]:
+    """The anchor of a piece, which starts at `at`, with the SIDE bytes before and with those behind it, where there are so many."""
+    if at >= SIDE:
+        yield False, piece[at - SIDE:at + GRAM]
+    if at + GRAM + SIDE <= len(piece):
+        yield True, piece[at:at + GRAM + SIDE]
+
+
 def _split(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return anchor % np.uint64(CODES), ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
@@ -214,8 +225,10 @@ def collection_transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             new_b[~is_new], new_c[~is_new] = b, common
             new_b[fresh] = symbols[active, j]
             # Places whose neighbour before them is new, or that are new.
-            touched = np.unique(np.r_[fresh, fresh + 1])
-            touched = touched[(touched > n) & (touched < total)]
+            near = is_new.copy()
+            near[1:] |= is_new[:-1]
+            near[:n + 1] = False
+            touched = np.flatnonzero(near)
             here, before = order[touched - n], order[touched - n - 1]
             new_c[touched] = 0
             equal = b[here] == b[before]
@@ -234,10 +247,10 @@ def collection_transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_column(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the symbols in the order of the first column, and its inverse; ends of pieces have none."""
-    some = np.flatnonzero(b)
+    some = np.flatnonzero(b).astype(np.int32)
     order = some[np.argsort(b[some], kind="stable")]
-    rank = np.zeros(len(b), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.zeros(len(b), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return order, rank
 
 
@@ -327,33 +340,37 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         if table.num_rows and messages.num_rows:
             number = table["block"][0].as_py()
             for bucket, found in Block(table).candidates(buckets, marks_of(messages.to_pylist())).items():
-                least = np.array([min(d for _, d in at) for _, at in found.values()], np.int64)
-                codes = pack_codes(np.array([c for c, _ in found.values()]))
+                least = np.array([min(d for _, d in at) for _, _, at in found.values()], np.int64)
+                codes = pack_codes(np.array([c for c, _, _ in found.values()]))
                 sizes = bytes(len(p) for p in found)
-                rows.append((number, bucket, squeeze(sizes + b"".join(found)),
+                places = bytes(at for _, at, _ in found.values())
+                rows.append((number, bucket, squeeze(sizes + places + b"".join(found)),
                              len(codes).to_bytes(4, "little") + codes + pack_longs(least)))
         return _message(rows, 2)
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         least: dict[bytes, int] = {}
-        code_of: dict[bytes, int] = {}
+        anchor_of: dict[bytes, tuple[int, int]] = {}
         sent = []
         for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
             cut_at = 4 + int.from_bytes(b[:4], "little")
             codes, holders, a = unpack_codes(b[4:cut_at]).tolist(), unpack_longs(b[cut_at:]).tolist(), unsqueeze(a)
-            sizes, at, own = a[:len(holders)], len(holders), []
-            for size, doc, code in zip(sizes, holders, codes, strict=True):
+            n = len(holders)
+            at, own = 2 * n, []
+            for size, place, doc, code in zip(a[:n], a[n:at], holders, codes, strict=True):
                 piece = a[at:at + size]
                 at += size
                 own.append(piece)
                 if doc < least.setdefault(piece, doc):
                     least[piece] = doc
-                code_of[piece] = code
+                anchor_of[piece] = (code, place)
             sent.append(own)
-        at_anchor = Counter(code_of.values())
-        at_anchor[CODES] = 1  # such a window is whole, and equal to itself only
-        several = [p for p, c in code_of.items() if at_anchor[c] > 1]
+        # A window that was dealt out by its own bytes is equal to itself only.
+        at_anchor = Counter(code for code, _ in anchor_of.values())
+        compared = [(p, at) for p, (code, at) in anchor_of.items() if code != CODES and at_anchor[code] > 1]
+        agree = Counter(side for p, at in compared for side in sides_of(p, at))
+        several = [p for p, at in compared if any(agree[side] > 1 for side in sides_of(p, at))]
         windows = dict(zip(several, smallest_holders(several, np.array([least[p] for p in several], np.int64)), strict=True))
         out = []
         for row, own in zip(table.select(["block", "bucket"]).to_pylist(), sent, strict=True):
@@ -383,7 +400,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         for bucket, found in block.candidates(buckets, marks_of(got)).items():
             lengths, values = verdicts[bucket]
             values, at, v = unpack_longs(values).tolist(), 0, 0
-            for _, places in found.values():
+            for _, _, places in found.values():
                 runs = lengths[at]
                 spans, offset = [], 0
                 for k in range(runs):
