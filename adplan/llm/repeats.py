@@ -15,15 +15,18 @@ anchor bring all occurrences of a string together. Three passes over blocks of d
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ LENGTH, GRAM = 50, 32
 SIDE = (LENGTH - GRAM + 1) // 2
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 4 << 20
+#: Windows whose anchors are sought at once, so that all arrays stay in the processor's cache.
+STRETCH = 1 << 13
 #: Pieces of one anchor from which on its windows are dealt out by their own bytes.
 HOT_PIECES = 2000
 #: Number of anchor codes; as a code, that of a window that was dealt out by its own bytes.
@@ -48,11 +53,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts that end at `ends` in data: first window, number of windows, text number, anchor's place in the piece and anchor hash of each piece."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none, none.astype(np.uint64)
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without the search for reference cycles, which many small objects would set off again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def anchors_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of data: the start of its anchor and the anchor's hash."""
     h = _TABLE[data]
     for k, odd in enumerate(_ODD):  # grams of 2, 4, 8, 16, 32 bytes
         step = 1 << k
@@ -67,13 +79,28 @@ def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = np.where(later, at[step:], at[:-step])
         best = np.where(later, best[step:], best[:-step])
         width += step
-    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[:len(at)]
-    windows = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends[text])
+    return at, h[at]
+
+
+def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts that end at `ends` in data: first window, number of windows, text number, anchor's place in the piece and anchor hash of each piece."""
+    whole = len(data) - LENGTH + 1
+    found = [(*anchors_at(data[i:min(i + STRETCH, whole) + LENGTH - 1]), i) for i in range(0, whole, STRETCH)]
+    inside = np.ones(max(whole, 0), bool)
+    begin = 0
+    for end in ends.tolist():
+        inside[max(begin, end - LENGTH + 1):end] = False
+        begin = end
+    windows = np.flatnonzero(inside)
     if not len(windows):
+        none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64)
-    a, t = at[windows], text[windows]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
-    return windows[first].astype(np.int64), np.diff(np.r_[first, len(windows)]), t[first], a[first] - windows[first], h[a[first]]
+    a = np.concatenate([at.astype(np.int64) + i for at, _, i in found])[windows]
+    # Anchors of different texts stand at different places.
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    start = windows[first]
+    return (start, np.diff(np.r_[first, len(windows)]), np.searchsorted(ends, start, side="right"), a[first] - start,
+            np.concatenate([h for _, h, _ in found])[start])
 
 
 class Block:
@@ -83,10 +110,9 @@ class Block:
         table = table.sort_by([("doc", "ascending"), ("row", "ascending")])
         self.docs = table["doc"].to_numpy()
         self.rows = table["row"]
-        texts = table["text"].to_pylist()
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.bytes = self.data.tobytes()
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        self.bytes = b"".join(table["text"].to_pylist())
+        self.data = np.frombuffer(self.bytes, np.uint8)
+        self.ends = np.cumsum(pc.binary_length(table["text"]).to_numpy(), dtype=np.int64)
         self.start, self.n, self.text, self.offset, self.anchor = pieces_of(self.data, self.ends)
 
     def anchors(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -104,9 +130,10 @@ class Block:
             mine = slice(*np.searchsorted(of, [b, b + 1]))
             yield int(b), pack_codes(unique[mine] & np.uint64(0xFFFFFFFF)), flags[mine].tobytes()
 
+    @no_collector()
     def candidates(self, buckets: int, marks: dict[int, tuple[bytes, bytes]]) -> dict[int, dict[bytes, tuple[int, int, list]]]:
         """By bucket: the distinct candidate strings, in order of codes, each with its code, its anchor's place
-        and its occurrences (first window, document); marks from pass 1."""
+        and its occurrences (first window, document), in order of documents; marks from pass 1."""
         code, bucket = _split(self.anchor, buckets)
         state = np.zeros(len(code), np.uint8)
         order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | code, kind="stable")
@@ -117,6 +144,17 @@ class Block:
             at = np.minimum(np.searchsorted(known, code[mine].astype(np.int64)), len(known) - 1)
             state[mine] = np.where(known[at] == code[mine].astype(np.int64), value[at], 0)
         out: dict[int, dict[bytes, tuple[int, int, list]]] = {}
+
+        def note(bucket: int, piece: bytes, code: int, place: int, occurrence: tuple[int, int]) -> None:
+            mine = out.get(bucket)
+            if mine is None:
+                mine = out[bucket] = {}
+            known = mine.get(piece)
+            if known is None:
+                mine[piece] = (code, place, [occurrence])
+            else:
+                known[2].append(occurrence)
+
         for hot in (False, True):
             chosen = order[state[order] == 1 + hot]
             for s, n, d, c, at, b in zip(self.start[chosen].tolist(), self.n[chosen].tolist(), self.docs[self.text[chosen]].tolist(),
@@ -124,9 +162,9 @@ class Block:
                 if hot:
                     for i in range(s, s + n):
                         piece = self.bytes[i:i + LENGTH]
-                        out.setdefault(zlib.crc32(piece) % buckets, {}).setdefault(piece, (CODES, 0, []))[2].append((i, d))
+                        note(zlib.crc32(piece) % buckets, piece, CODES, 0, (i, d))
                 else:
-                    out.setdefault(b, {}).setdefault(self.bytes[s:s + n - 1 + LENGTH], (c, at, []))[2].append((s, d))
+                    note(b, self.bytes[s:s + n - 1 + LENGTH], c, at, (s, d))
         return out
 
 
@@ -178,13 +216,13 @@ def unsqueeze(data: bytes) -> bytes:
 
 
 class ExternalColumn:
-    """An array in a file that is read whole in order and written anew in order."""
+    """An array in a file that is read whole in order and written over in order; it never gets shorter."""
 
     def __init__(self, folder: str, name: str, kind: type) -> None:
         self.path, self.kind = Path(folder, name), kind
 
     def write(self, values: np.ndarray) -> None:
-        with self.path.open("wb") as f:
+        with self.path.open("r+b" if self.path.exists() else "wb") as f:
             values.astype(self.kind, copy=False).tofile(f)
 
     def read(self) -> np.ndarray:
@@ -340,7 +378,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
         if table.num_rows and messages.num_rows:
             number = table["block"][0].as_py()
             for bucket, found in Block(table).candidates(buckets, marks_of(messages.to_pylist())).items():
-                least = np.array([min(d for _, d in at) for _, _, at in found.values()], np.int64)
+                least = np.array([at[0][1] for _, _, at in found.values()], np.int64)
                 codes = pack_codes(np.array([c for c, _, _ in found.values()]))
                 sizes = bytes(len(p) for p in found)
                 places = bytes(at for _, at, _ in found.values())
