@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,21 @@ def test_licenses_are_found(spark):
             (5, "LICENSED under the apache license version 2.0"), (5, "Licensed under the Apache License, Version 2.0.")]
     got = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (5, "Apache-2.0")}
+
+
+@pytest.mark.parametrize("values", [[0], [5, 5, 5], [0, 65534, 65535, 65536, 400000, (1 << 24)], list(range(0, 1 << 24, 99991))])
+def test_packed_codes_come_back(values):
+    assert repeats.unpack_codes(repeats.pack_codes(np.array(values))).tolist() == values
+
+
+@pytest.mark.parametrize("values", [[7], [-3, 0, 250], [1, 2**40, -(2**63), 2**63 - 1], [2**63 - 1] * 3, [10**9, 10**9 + 70000]])
+def test_packed_longs_come_back(values):
+    assert repeats.unpack_longs(repeats.pack_longs(np.array(values, np.int64))).tolist() == values
+
+
+def test_pieces_do_not_depend_on_the_stretch(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8)
+    ends = np.cumsum([0, 10, 49, 50, 51, 3000, 0, 1840])
+    whole = repeats.pieces_of(data, ends)
+    monkeypatch.setattr(repeats, "STRETCH", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, repeats.pieces_of(data, ends), strict=True))
