@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adplan.llm.common import settle
@@ -19,8 +19,8 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A pair whose estimated similarity lies this far below the threshold is not verified: over 5 deviations.
 SLACK = 0.2
-#: Rows of a bucket that meet in one task.
-PART = 1000
+#: Rows of a bucket that meet in one task, rows of small buckets that share a call, pairs estimated at a time.
+PART, BUNDLE, AT_ONCE = 1000, 4000, 4096
 
 _RNG = np.random.default_rng(5)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -149,10 +149,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def meetings(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Likely pairs of each key's left and right rows in different components, with their estimates."""
+    block = block.sort_values(["key", "rep"])
+    key, right, comp, rep, n = (block[c].to_numpy() for c in ("key", "right", "component", "rep", "n"))
+    regs, n = np.stack([np.frombuffer(r, np.uint16) for r in block.regs]), n.astype(float)
+    starts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+    out, lefts, rights, waiting = [], [], [], 0
+
+    def weigh() -> None:
+        a, b = np.concatenate(lefts), np.concatenate(rights)
+        for at in range(0, len(a), AT_ONCE):
+            i, j = a[at:at + AT_ONCE], b[at:at + AT_ONCE]
+            est = estimate(regs[i], regs[j], n[i], n[j])
+            i, j, est = i[est >= threshold - SLACK], j[est >= threshold - SLACK], est[est >= threshold - SLACK]
+            out.append(pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "row": rep[j], "group": comp[i], "est": est}))
+
+    for start, end in zip(starts[:-1], starts[1:], strict=True):
+        own = np.arange(start, end)
+        a, b = own[~right[own]], own[right[own]]
+        step = max(1, 64 * AT_ONCE // max(1, len(a)))
+        for at in range(0, len(b), step):
+            c = b[at:at + step]
+            i, j = np.nonzero((comp[a][:, None] != comp[c]) & (np.minimum(n[a][:, None], n[c]) >= threshold * np.maximum(n[a][:, None], n[c])))
+            lefts.append(a[i])
+            rights.append(c[j])
+            waiting += len(i)
+            if waiting >= 64 * AT_ONCE:
+                weigh()
+                lefts, rights, waiting = [], [], 0
+    if waiting:
+        weigh()
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "row": [], "group": [], "est": []})
+
+
 def remaining_pairs(bands: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """Untested pairs of a bucket's rows in different components that registers allow; `most` for each row and component at a time.
+    """Untested pairs a, b of a bucket's rows in different components that registers allow: `most` for
+    each row and component now, one more as `later`; `more` tells that some row has such a one.
 
     A bucket's largest component is cut into parts; only the rows outside it travel to every part.
+    Buckets of one part share calls of about BUNDLE rows.
     """
     placed = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -163,31 +199,21 @@ def remaining_pairs(bands: DataFrame, labels: DataFrame, sets: DataFrame, tested
         "minor": F.col("component") != F.col("top.component"), "part": F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / PART)).cast("int"),
         "parts": F.ceil(F.col("rows") / PART).cast("int"), "own": F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil((F.col("rows") - F.col("top.n")) / PART)).cast("int"),
         "owns": F.ceil((F.col("rows") - F.col("top.n")) / PART).cast("int")})
-    cols = ["key", "rep", "component", "regs", "n"]
+    bundle = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(1 + bands.count() // BUNDLE)))
+    cols = ["key", "rep", "component", "regs", "n", bundle.alias("bundle"), (F.col("parts") > 1).alias("large")]
     left = rows.select(*cols, F.lit(False).alias("right"), "part", F.explode(F.sequence(F.lit(0), F.col("owns") - 1)).alias("own"))
     right = rows.where("minor").select(*cols, F.lit(True).alias("right"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
 
     def meet(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("rep")
-        a, b = block[~block.right], block[block.right]
-        out = []
-        if len(a) and len(b):
-            regs, n, comp, rep = np.stack([np.frombuffer(r, np.uint16) for r in a.regs]), a.n.to_numpy(float), a.component.to_numpy(), a.rep.to_numpy()
-            for r, c, x, m in zip(b.regs, b.component, b.rep, b.n, strict=True):
-                at = np.flatnonzero((comp != c) & (np.minimum(n, m) >= threshold * np.maximum(n, m)))
-                if len(at):
-                    est = estimate(regs[at], np.broadcast_to(np.frombuffer(r, np.uint16), (len(at), REGISTERS)), n[at], np.full(len(at), float(m)))
-                    out += [(min(x, y), max(x, y), x, k, e) for y, k, e in zip(rep[at], comp[at], est, strict=True) if e >= threshold - SLACK]
-        return pd.DataFrame(out, columns=["a", "b", "row", "group", "est"])
-
-    met = left.unionByName(right).groupBy("key", "part", "own").applyInPandas(meet, "a long, b long, row long, group long, est double")
-    fresh = met.groupBy("a", "b", "row", "group").agg(F.max("est").alias("est")).join(tested, ["a", "b"], "left_anti")
-    if most is not None:
-        from pyspark.sql import Window
+        return meetings(block, threshold)
 
-        order = Window.partitionBy("row", "group").orderBy(F.desc("est"), "a", "b")
-        fresh = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    return fresh.select("a", "b").distinct()
+    met = left.unionByName(right).groupBy("large", "bundle", "part", "own").applyInPandas(meet, "a long, b long, row long, group long, est double")
+    fresh = met.groupBy("a", "b", "row", "group").agg(F.max("est").alias("est")).join(tested, ["a", "b"], "left_anti")
+    if most is None:
+        return fresh.select("a", "b", F.lit(False).alias("later"), F.lit(False).alias("more")).distinct()
+    order = Window.partitionBy("row", "group").orderBy(F.desc("est"), "a", "b")
+    fresh = fresh.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most + 1).withColumn("over", F.col("k") > most)
+    return fresh.groupBy("a", "b").agg(F.min("over").alias("later"), F.max("over").alias("more"))
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -216,7 +242,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = components(links)
     bands = shared.where("n > 2").select("key", "rep")
     for most in (4, 64, None):
-        fresh = settle(remaining_pairs(bands, labels, own, tested, threshold, most), "pairs")
+        likely = settle(remaining_pairs(bands, labels, own, tested, threshold, most), "pairs")
+        fresh = likely.where("not later").select("a", "b")
         if fresh.isEmpty():
             break
         found = confirm(fresh, docs, k, percent)
@@ -224,6 +251,9 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
+        # Without a row that has further likely pairs, every likely pair is tested.
+        if likely.where("more").isEmpty():
+            break
     of_set = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     # Rows of one doc_id and different sets reach each other through the id they share.
     out = sketched.join(of_set, "set_id", "left").select(
