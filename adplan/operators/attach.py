@@ -7,35 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 
-
-def attach(df: DataFrame, facts: DataFrame, by: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
+def attach(df: DataFrame, facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Left-join ``facts`` (one row per ``by`` key) to ``df``.
 
     Without ``by`` the single row of ``facts`` comes in as a scalar subquery, so no join
-    and no shuffle is planned. With ``by`` the rows of one entity are spread over
-    ``salts`` sub-keys and ``facts`` is repeated once per sub-key: an entity that owns a
-    large share of all rows then feeds many tasks. Adaptive execution still turns the
-    join into a broadcast join when the measured size of ``facts`` allows it.
+    and no shuffle is planned. With ``by`` it is a plain join by the entity: adaptive execution
+    broadcasts ``facts`` when its measured size allows it and splits an entity that owns a
+    large share of all rows.
     """
     values = [c for c in facts.columns if c not in by]
     if not by:
         row = facts.select(F.struct(*values).alias("row")).scalar()
         return df.select("*", *[row[c].alias(c) for c in values])
 
-    spread = [c for c in df.columns if c not in by and not dict(df.dtypes)[c].startswith("map")]
-    left = df
     right = facts.select(*[F.col(k).alias(f"__{k}") for k in by], *values)
     match = None
     for k in by:
         same = F.col(k).eqNullSafe(F.col(f"__{k}"))
         match = same if match is None else match & same
-    if salts > 1 and spread:
-        left = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        right = right.withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        match = match & (F.col("__salt") == F.col("__salted"))
-    return left.join(right, match, "left").select(*df.columns, *values)
+    return df.join(right, match, "left").select(*df.columns, *values)
 
 
 def attach_totals(df: DataFrame, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

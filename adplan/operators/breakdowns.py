@@ -100,11 +100,10 @@ def ad_product_breakdown(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = add_ratios(out)
     if "spend" not in out.columns:
         return out
-    known = df.filter(F.col("campaign_type").isNotNull())
-    whole = (known.groupBy(*by) if by else known).agg(total(df, "spend").alias("__whole"))
+    # The whole is the sum of the few rows above, not of the report.
+    whole = (out.groupBy(*by) if by else out).agg(total(out, "spend", wide=True).alias("__whole"))
     share = F.coalesce(positive_ratio(F.col("spend"), F.col("__whole"), 1, 100.0), F.lit(0.0))
-    # An entity has as many rows as there are ad products: nothing to spread.
-    out = attach(out, whole, by, salts=1).withColumn("spend_share_pct", share).drop("__whole")
+    out = attach(out, whole, by).withColumn("spend_share_pct", share).drop("__whole")
     return sorted_by(out, "spend", "ad_product")
 
 

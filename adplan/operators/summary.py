@@ -20,11 +20,14 @@ def summarise(df: DataFrame, dims: Mapping[str, str], by: Sequence[str] = (),
 
     ``dims`` names the dimensions and their columns; with ``account`` there is also a row
     per entity as a whole. ``idle_spend`` is the spend of rows without an order. Partial
-    aggregation folds the rows of each grouping set before they move.
+    aggregation folds the rows of each grouping set before they move. Dimensions of one
+    column are summed once; a dimension that is also an entity column repeats the entity.
     """
-    cols = [F.col(c) for c in dims.values()]
+    folded = [c for c in dict.fromkeys(dims.values()) if c not in by]
+    cols = [F.col(c) for c in folded]
     keys = [F.col(c) for c in by]
-    sets = [[*keys, c] for c in cols] + ([keys] if account else [])
+    whole = account or any(c in by for c in dims.values())
+    sets = [[*keys, c] for c in cols] + ([keys] if whole else [])
     idle = []
     if {"spend", "ad_orders"} <= set(df.columns):
         idle = [total(df, "spend", "coalesce(ad_orders, 0) = 0").alias(IDLE)]
@@ -32,16 +35,19 @@ def summarise(df: DataFrame, dims: Mapping[str, str], by: Sequence[str] = (),
         F.grouping_id().alias("__gid"), *totals(df, measures), *idle)
     # Bit i from the right is 1 where column i from the right was folded away.
     every = 2 ** len(cols) - 1
-    bits = {n: every ^ (1 << (len(cols) - 1 - i)) for i, n in enumerate(dims)}
-    gid = F.col("__gid")
-    name = F.coalesce(*[F.when(gid == F.lit(b), n) for n, b in bits.items()], F.lit(ACCOUNT))
-    key = F.coalesce(*[F.when(gid == F.lit(b), F.col(dims[n]).cast("string")) for n, b in bits.items()])
+    bits = {c: every ^ (1 << (len(cols) - 1 - i)) for i, c in enumerate(folded)}
+    labels: dict[int, list] = {}
+    for n, c in dims.items():
+        labels.setdefault(bits.get(c, every), []).append(F.struct(F.lit(n).alias("dimension"), F.col(c).cast("string").alias("key")))
+    if account:
+        labels.setdefault(every, []).append(F.struct(F.lit(ACCOUNT).alias("dimension"), F.lit(None).cast("string").alias("key")))
+    named = F.explode(F.coalesce(*[F.when(F.col("__gid") == F.lit(b), F.array(*rows)) for b, rows in labels.items()]))
     names = [*have(df, measures), *([IDLE] if idle else [])]
-    out = grouped.select(name.alias("dimension"), *by, key.alias("key"), *names)
+    out = grouped.select("*", named.alias("__named")).select("__named.dimension", *by, "__named.key", *names)
     return out.filter(F.col("key").isNotNull() | (F.col("dimension") == ACCOUNT))
 
 
 def slice_of(summary: DataFrame, dimension: str, key: str | None = None) -> DataFrame:
     """The rows of one dimension, with its key under its own name."""
     rows = summary.filter(F.col("dimension") == dimension).drop("dimension")
-    return rows.withColumnRenamed("key", key) if key else rows.drop("key")
+    return rows.withColumnRenamed("key", key) if key and key not in rows.columns else rows.drop("key")

@@ -109,12 +109,7 @@ def monthly_actuals(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     names = have(series, CORE_MEASURES)
     months = (series.groupBy(*by, F.year("period_start").alias("year"), F.month("period_start").alias("month"))
               .agg(*totals(series, names, wide=True)))
-    if by:
-        latest = F.max("year").over(Window.partitionBy(*by))
-        months = months.withColumn("__latest", latest)
-    else:
-        newest = series.agg(F.max(F.year("period_start")).alias("y")).scalar()
-        months = months.withColumn("__latest", newest)
+    months = months.withColumn("__latest", F.max("year").over(Window.partitionBy(*by)))
     out = months.filter(F.col("year") == F.col("__latest")).drop("__latest")
     spend, sales = F.col("spend"), F.col("ad_sales")
     if {"spend", "ad_sales"} <= set(names):

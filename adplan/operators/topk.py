@@ -39,7 +39,7 @@ def top_n_with_other(df: DataFrame, value: str, metric: str, key: str, n: int =
         exact = F.sum(F.col(value).cast("decimal(28,4)")).cast("double").alias(name)
         return (frame.groupBy(*by) if by else frame).agg(exact)
 
-    rest = attach(summed(positive, "whole"), summed(head, "shown"), by, salts=1)
+    rest = attach(summed(positive, "whole"), summed(head, "shown"), by)
     rest = (rest.withColumn(value, rnd(F.col("whole") - F.col("shown"), 2))
                 .filter(F.col(value) > 0)
                 .select(*by, F.lit(other).alias(key), value))

@@ -17,7 +17,7 @@ def _per_scenario(rows: DataFrame, plan: DataFrame, by: Sequence[str]) -> DataFr
     """Repeat a bounded set of rows per entity for each scenario of the entity."""
     packed = pack_scenarios(plan, ["incremental_exact", "incremental_spend"], by)
     keep = rows.columns
-    return (attach(rows, packed, by, salts=1)
+    return (attach(rows, packed, by)
             .withColumn("__s", F.explode("scenarios"))
             .select(*keep, "__s.scenario_id", "__s.incremental_exact", "__s.incremental_spend"))
 
@@ -38,7 +38,8 @@ def recommend_campaigns(campaigns: DataFrame, plan: DataFrame, name: str = "camp
         raise ValueError("campaigns need roas or acos_pct")
     scored = campaigns.withColumn("__score", score).filter(F.col("__score") > 0)
     whole = F.sum(F.col("__score").cast("decimal(28,6)")).cast("double")
-    head = top_n(attach_totals(scored, {"__whole": whole}, by), "spend", n, [name], by)
+    totals = (scored.groupBy(*by) if by else scored).agg(whole.alias("__whole"))
+    head = attach(top_n(scored, "spend", n, [name], by), totals, by)
     null = F.lit(None).cast("double")
     slim = head.select(
         *by, F.col(name).alias("campaign"), rnd(F.col("spend"), 2).alias("current_spend"), F.col("spend").alias("__spend"),
@@ -121,7 +122,7 @@ def spend_concentration(campaigns: DataFrame, k: int = 5, name: str = "campaign_
         return (frame.groupBy(*by) if by else frame).agg(exact)
 
     slim = campaigns.select(*by, name, "spend")
-    out = attach(summed(slim, "total_spend"), summed(top_n(slim, "spend", k, [name], by), "top_spend"), by, salts=1)
+    out = attach(summed(slim, "total_spend"), summed(top_n(slim, "spend", k, [name], by), "top_spend"), by)
     share = ratio(F.col("top_spend"), F.col("total_spend"), 6)
     exact_share = F.try_divide(F.col("top_spend"), F.col("total_spend"))
     return out.select(*by, "top_spend", "total_spend", share.alias("top_share"),
@@ -131,8 +132,9 @@ def spend_concentration(campaigns: DataFrame, k: int = 5, name: str = "campaign_
 def scenario_asin_plan(health: DataFrame, plan: DataFrame, by: Sequence[str] = (), n: int = 10) -> DataFrame:
     """Extra budget by score for the best products to scale and the best of those to pause."""
     whole = F.sum(F.col("score").cast("decimal(28,4)")).cast("double")
-    scored = attach_totals(health.select(*by, "asin", "score", "tier"), {"__whole": whole}, by)
-    head = top_n(scored.filter(F.col("tier").isin("Scale", "Pause")), "score", n, ["asin"], [*by, "tier"])
+    totals = (health.groupBy(*by) if by else health).agg(whole.alias("__whole"))
+    best = health.select(*by, "asin", "score", "tier").filter(F.col("tier").isin("Scale", "Pause"))
+    head = attach(top_n(best, "score", n, ["asin"], [*by, "tier"]), totals, by)
     part = F.coalesce(F.try_divide(F.col("score"), F.col("__whole")), F.lit(0.0))
     return _per_scenario(head, plan, by).select(
         *by, "scenario_id", "tier", "asin", "score",

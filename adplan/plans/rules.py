@@ -70,7 +70,7 @@ def account_facts(kpis: DataFrame, vendor: DataFrame | None = None, campaigns: D
     def add(facts: DataFrame, more: DataFrame | None, kinds: dict[str, str]) -> DataFrame:
         if more is None:
             return facts.withColumns({c: null(k) for c, k in kinds.items()})
-        return attach(facts, more.select(*by, *kinds), by, salts=1)
+        return attach(facts, more.select(*by, *kinds), by)
 
     facts = add(kpis, vendor, {"total_ordered_revenue": "double"})
     facts = add(facts, None if campaigns is None else campaign_facts(campaigns, by),

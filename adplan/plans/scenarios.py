@@ -29,7 +29,7 @@ def baselines(kpis: DataFrame, vendor: DataFrame | None = None, by: Sequence[str
         return out.withColumn("revenue", F.lit(0.0))
     known = vendor.select(*by, F.col("total_ordered_revenue").alias("revenue"))
     # One row per entity on both sides: nothing to spread.
-    return attach(out, known, by, salts=1).fillna(0.0, ["revenue"])
+    return attach(out, known, by).fillna(0.0, ["revenue"])
 
 
 def forecast(base: DataFrame, scenarios: Sequence[Scenario] | None = None, by: Sequence[str] = (),
@@ -198,7 +198,7 @@ def project_secondary(plan: DataFrame, kpis: DataFrame, by: Sequence[str] = ())
         "total_spend", "total_clicks", "total_impressions", "total_ad_orders",
         "overall_cpc", "overall_ctr", "conversion_rate", "cost_per_order")])
     # An entity has as many rows as there are scenarios: nothing to spread.
-    both = attach(plan.select(*by, "scenario_id", "recommended_spend"), facts, by, salts=1)
+    both = attach(plan.select(*by, "scenario_id", "recommended_spend"), facts, by)
     zero = F.lit(0.0)
     grow = F.when(F.col("total_spend") > 0, F.col("recommended_spend") / F.col("total_spend")).otherwise(1.0)
     orders = F.rint(F.col("total_ad_orders") * grow)

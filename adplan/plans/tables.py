@@ -50,7 +50,7 @@ def plan_executive_summary(kpis: DataFrame, vendor: DataFrame | None = None, by:
     if vendor is None:
         both = kpis.withColumns({c: F.lit(None).cast("double") for c in ("total_ordered_revenue", "avg_selling_price")})
     else:
-        both = attach(kpis, vendor.select(*by, "total_ordered_revenue", "avg_selling_price"), by, salts=1)
+        both = attach(kpis, vendor.select(*by, "total_ordered_revenue", "avg_selling_price"), by)
     rows = []
     for i, (label, name, divisor) in enumerate(SUMMARY, start=1):
         value = F.col(name) if divisor == 1.0 else F.coalesce(F.col(name), F.lit(0.0)) / divisor

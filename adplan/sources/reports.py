@@ -3,45 +3,84 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adplan.functions.schema import ADS_ALIASES
-from adplan.operators.ingest import parse_ads, parse_vendor
+from adplan.functions.schema import ADS_ALIASES, VENDOR_ALIASES
+from adplan.operators.ingest import normalise_columns, parse_ads, parse_vendor, vendor_period_to_date
 
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
 
 
+def _csv(spark: SparkSession, files: list[str], encoding: str, multiline: bool) -> DataFrame:
+    return (spark.read.option("header", True).option("inferSchema", False)
+            .option("encoding", encoding).option("multiLine", multiline)
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(files))
+
+
+def files_by_header(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[list[str]]:
+    """The files of ``path``, those of one header line together; empty files are left out.
+
+    One job over the files' text keeps one line per file; only names of files reach the driver.
+    """
+    # The path comes percent-encoded, with a literal plus sign.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(list(r.files) for r in groups.collect())
+
+
+def _stack(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def _frames(spark: SparkSession, path: str | list[str], encoding: str, multiline: bool) -> list[DataFrame]:
+    """One frame per distinct header, so that cells are read under their own file's headers."""
+    groups = files_by_header(spark, path, encoding)
+    return [_csv(spark, g, encoding, multiline) for g in groups] or [_csv(spark, path, encoding, multiline)]
+
+
 def read_raw(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
-    """All columns as text under the file's own headers.
+    """All columns as text under the files' own headers; files may order their columns differently.
 
     ``multiline`` allows line breaks inside quoted cells; such files cannot be split, so
     it is off unless asked for.
     """
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("encoding", encoding).option("multiLine", multiline)
-            .option("quote", '"').option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path))
+    return _stack(_frames(spark, path, encoding, multiline))
 
 
 def read_report(spark: SparkSession, path: str | list[str], kind: str = "ads", encoding: str = "UTF-8",
                 multiline: bool = False, infer: bool = True) -> DataFrame:
-    """Read and canonicalise an advertising or vendor report."""
-    raw = read_raw(spark, path, encoding, multiline)
-    return parse_ads(raw, infer) if kind == "ads" else parse_vendor(raw, infer)
+    """Read and canonicalise an advertising or vendor report of one or many files.
+
+    Headers may differ between files: each distinct header is read once, cells are stacked
+    as text by canonical name (null where a file lacks the column), and types are decided
+    over all files together.
+    """
+    frames = _frames(spark, path, encoding, multiline)
+    if kind == "ads":
+        return parse_ads(_stack([normalise_columns(f, ADS_ALIASES, True) for f in frames]), infer)
+    return parse_vendor(_stack([vendor_period_to_date(normalise_columns(f, VENDOR_ALIASES, True)) for f in frames]), infer)
 
 
 def read_reports(spark: SparkSession, paths: list[str], kind: str = "ads", **options) -> DataFrame:
     """Stack reports whose headers may differ; missing columns become null."""
-    frames = [read_report(spark, p, kind, **options) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return read_report(spark, paths, kind, **options)
 
 
 def report_headers(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """One row per file with its header texts, for ``classify_reports``. Only headers are read."""
-    rows = [(p, read_raw(spark, p, encoding).columns) for p in paths]
+    """One row per file with its header texts, for ``classify_reports``. Cells are not parsed."""
+    rows = []
+    for files in files_by_header(spark, paths, encoding):
+        columns = _csv(spark, files[:1], encoding, False).columns
+        rows += [(f, columns) for f in files]
     return spark.createDataFrame(rows, "file string, headers array<string>")
 
 

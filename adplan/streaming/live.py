@@ -25,9 +25,13 @@ def text_schema(headers: Sequence[str]) -> StructType:
 
 def read_report_stream(spark: SparkSession, folder: str, headers: Sequence[str], kind: str = "ads",
                        files_per_trigger: int | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """New report files of a folder as a typed stream. Progress: ``query.recentProgress``."""
+    """New report files of a folder as a typed stream. Progress: ``query.recentProgress``.
+
+    A file whose headers are others, or in another order, fails the query.
+    """
     reader = (spark.readStream.schema(text_schema(headers)).option("header", True)
-              .option("encoding", encoding).option("quote", '"').option("escape", '"'))
+              .option("encoding", encoding).option("quote", '"').option("escape", '"')
+              .option("enforceSchema", False))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     raw = reader.csv(folder)

@@ -196,3 +196,31 @@ def test_header_case_and_collisions(spark):
     df = spark.createDataFrame([(None, "2", "x"), ("1", "3", "y")], "`Cost` string, `SPEND ` string, `A.b` string")
     out = ingest.normalise_columns(df, ADS_ALIASES)
     assert out.columns == ["spend", "a.b"] and [r.spend for r in out.collect()] == ["2", "1"]
+
+
+def test_files_are_read_under_their_own_headers(spark, tmp_path):
+    from adplan.sources.reports import read_report, report_headers
+
+    (tmp_path / "a one.csv").write_text("Campaign name,Spend,Sales\nx,1.5,10\n")
+    (tmp_path / "b.csv").write_text("Spend,Campaign name,Sales\n3,y,20\n")
+    (tmp_path / "c.csv").write_text("Campaign name,Spend,Sales,Oddity\nz,4,30,\"$1,000\"\n")
+    (tmp_path / "d.csv").write_text("Campaign name,Spend,Sales,Oddity\nw,5,40,none such\n")
+    rows = {r.campaign_name: r for r in read_report(spark, str(tmp_path / "*.csv")).collect()}
+    assert {k: (r.spend, r.ad_sales, r.oddity) for k, r in rows.items()} == {
+        "x": (1.5, 10.0, None), "y": (3.0, 20.0, None), "z": (4.0, 30.0, 1000.0), "w": (5.0, 40.0, None)}
+    heads = report_headers(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted(len(r.headers) for r in heads) == [3, 3, 4, 4]
+
+
+def test_breakdowns_without_a_campaign_and_by_a_dimension(spark):
+    from adplan.operators.breakdowns import all_breakdowns
+    from adplan.operators.summary import slice_of, summarise
+
+    df = spark.createDataFrame([("SP", "a", 1.0, 2.0), ("SB", "a", 3.0, 4.0), ("SP", "b", 5.0, 6.0)],
+                               "campaign_type string, asin string, spend double, ad_sales double")
+    got = {(r.dimension, r.key): r.spend for r in all_breakdowns(df).collect()}
+    assert got == {("campaign", "SP"): 6.0, ("campaign", "SB"): 3.0, ("ad_product", "SP"): 6.0, ("ad_product", "SB"): 3.0,
+                   ("asin", "a"): 4.0, ("asin", "b"): 5.0}
+    own = summarise(df, {"campaign": "campaign_type", "asin": "asin"}, ["asin"])
+    assert {r.asin: r.spend for r in slice_of(own, "asin", "asin").collect()} == {"a": 4.0, "b": 5.0}
+    assert slice_of(own, "account").count() == 2 and slice_of(own, "campaign", "campaign_type").count() == 3
