@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,24 @@ def test_pieces_do_not_depend_on_the_stretch(monkeypatch):
     whole = repeats.pieces_of(data, ends)
     monkeypatch.setattr(repeats, "STRETCH", 64)
     assert all(np.array_equal(a, b) for a, b in zip(whole, repeats.pieces_of(data, ends), strict=True))
+
+
+def test_bundled_buckets_meet_like_single_ones():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        s = np.unique(np.r_[base[:360], rng.integers(0, 2**63, 10 + 5 * (i % 12), dtype=np.uint64)])
+        rows.append((i % 5, i, i % 7, nearcopies.registers(s).tobytes(), len(s), i % 2 == 0))
+    block = pd.DataFrame(rows, columns=["key", "rep", "component", "regs", "n", "right"])
+    wanted = {}
+    for a in block[~block.right].itertuples():
+        for b in block[block.right].itertuples():
+            if a.key == b.key and a.component != b.component and min(a.n, b.n) >= 0.8 * max(a.n, b.n):
+                est = nearcopies.estimate(*(np.frombuffer(x.regs, np.uint16)[None] for x in (a, b)), np.array([float(a.n)]), np.array([float(b.n)]))[0]
+                if est >= 0.8 - nearcopies.SLACK:
+                    wanted[min(a.rep, b.rep), max(a.rep, b.rep), b.rep, a.component] = est
+    got = {(r.a, r.b, r.row, r.group): r.est for r in nearcopies.meetings(block, 0.8).itertuples()}
+    assert wanted and got.keys() == wanted.keys()
+    assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert not len(nearcopies.meetings(block[block.right], 0.8))
