@@ -205,6 +205,7 @@ CAMPAIGN_TYPES: dict[str, str] = {
 }
 
 # Date-bearing columns, in the order in which they are preferred; date_range comes last.
+# Date columns in order of preference.
 DATE_COLUMNS = ("start_date", "report_date", "week_date", "month_date")
 
 # Measures summed by the breakdowns.
@@ -214,4 +215,5 @@ VENDOR_MEASURES = ("ordered_revenue", "shipped_revenue", "ordered_units", "shipp
 PRODUCT_ATTRIBUTES = ("product_title", "category", "subcategory", "brand")
 
 # Fall-back order of the campaign dimension.
+# Campaign dimensions in order of preference.
 CAMPAIGN_DIMENSIONS = ("campaign_name", "campaign_type", "targeting", "ad_group_name")

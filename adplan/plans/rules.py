@@ -148,6 +148,7 @@ def actions(facts: DataFrame, by: Sequence[str] = (), n: int = 10) -> DataFrame:
     tacos, waste = _known("tacos_pct"), F.col("pause_spend")
     always, none = F.lit(True), F.lit(None).cast("double")
     quick, weeks, month = "Quick Win", "1–2 weeks", "1+ month"
+    # Limits, priorities, impact and effort of the actions.
     plan = [  # rule, condition, priority, impact, effort, category, value, title
         ("reduce_acos", acos > ACOS_ACCEPTABLE, 1, "High", quick, "Efficiency", acos, "Bring ACOS of %.1f %% under 35 %%"),
         ("lift_roas", roas < ROAS_ACCEPTABLE, 1, "High", quick, "Efficiency", roas, "Lift ROAS of %.2f to at least 2"),
@@ -270,6 +271,7 @@ def health_alerts(kpis: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Short list of what is wrong (``alert``) and what is right (``good``)."""
     acos, roas, ctr = F.col("overall_acos"), F.col("overall_roas"), F.col("overall_ctr")
     cpc, ntb = F.col("overall_cpc"), F.col("ntb_order_pct")
+    # Limits, priorities, impact and effort of the actions.
     plan = [  # rule, condition, kind, value
         ("acos_high", acos > 35, "alert", acos),
         ("acos_low", acos < 15, "good", acos),
