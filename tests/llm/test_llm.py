@@ -205,6 +205,26 @@ def test_licenses_are_found(spark):
     assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (5, "Apache-2.0")}
 
 
+def test_each_license_notice_is_told_from_its_relatives(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [({name}, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    cases += [
+        ({"GPL-2.0"}, gnu.format("", "2")), ({"LGPL-2.1"}, gnu.format("Lesser ", "2.1")), (set(), gnu.format("", "1")),
+        ({"GPL-2.0", "AGPL-3.0"}, gnu.format("", "2") + " " + gnu.format("Affero ", "3")),
+        ({"GPL-2.0", "GPL-3.0"}, gnu.format("", "2") + " " + gnu.format("", "3")),
+        ({"GPL-3.0"}, "This work is licensed under the GNU General Public License v3."),
+        (set(), "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 International License."),
+        (set(), licenses.TEMPLATES["MPL-2.0"][0].replace("2.0", "1.1")),
+        (set(), licenses.TEMPLATES["Apache-2.0"][1].replace("Apache", "Educational Community")),
+        (set(), licenses.TEMPLATES["MIT"][2].replace("deal in", "deal with")),
+    ]
+    rows = [(i, lead + text + tail) for i, (_, text) in enumerate(cases) for lead, tail in [(prose(i % 19) + " ", " " + prose(30))]]
+    got = {}
+    for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: got.get(i, set()) for i in range(len(cases))} == {i: names for i, (names, _) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("values", [[0], [5, 5, 5], [0, 65534, 65535, 65536, 400000, (1 << 24)], list(range(0, 1 << 24, 99991))])
 def test_packed_codes_come_back(values):
     assert repeats.unpack_codes(repeats.pack_codes(np.array(values))).tolist() == values
