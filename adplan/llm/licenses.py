@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a shingle; hash functions, each a band of one row: a window whose similarity to a template
-#: is 0.3 misses all bands once in 90,000.
-SHINGLE, BANDS = 3, 32
+#: Words of a shingle; hash functions, each a band of one row. A window goes by bands alone only if every template
+#: that it can hold has a similarity of SIMILAR or more to it (all bands are missed once in 4 * 10^9 at most);
+#: fuller windows are retrieved by every shingle, which misses none.
+SHINGLE, BANDS, SIMILAR = 3, 32, 0.5
 #: Share of a template's shingles that a window must hold; words around a window in which a license's key may reach.
 CONTAINED, AROUND = 0.8, 8
 #: Window strides in words; a template goes by the smallest that is as long as it is.
@@ -111,8 +112,9 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     Windows are two strides long and start at every stride, so each template that stands in a
     text lies whole in one. Shingles that no template has cannot count towards containment and
-    are left out of windows first. Bands retrieve templates for a window; the share of the
-    template's shingles in the window decides, and the license's key (its own name variant and
+    are left out of windows first. Bands retrieve templates for a window, and any shared shingle
+    does where a window holds so many that a small template could be lost among them; the share of
+    the template's shingles in the window decides, and the license's key (its own name variant and
     version, a regular expression; KEYS for TEMPLATES) must stand there in full. Each license
     is judged by its own key, so several of a family in one window are all reported. Null and
     empty texts have no license; repeated rows of a doc_id count once; extra columns are
@@ -124,9 +126,15 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     for name, pattern in keys.items():
         key = F.when(F.col("license") == name, F.lit(pattern)).otherwise(key)
     known = known.withColumn("key", key)
-    by_stride = {}
+    by_stride, least, full = {}, {}, {}
     for r in known.select("stride", "hashes").collect():  # a few hundred numbers, given by the templates
         by_stride.setdefault(r.stride, set()).update(r.hashes)
+        n = len(r.hashes)
+        held = next(c for c in range(n + 1) if c / n >= CONTAINED)
+        # Of w shingles in the window, held are the template's: similarity held / (w + n - held).
+        least[r.stride] = min(held, least.get(r.stride, held))
+        full[r.stride] = min(int(held / SIMILAR) - n + held, full.get(r.stride, 1 << 30))
+    of_stride = lambda bounds: F.coalesce(*[F.when(F.col("stride") == s, n) for s, n in bounds.items()])
     every = sorted(set().union(*by_stride.values()))
     # Generators keep Catalyst from copying the word and hash arrays into filters and lambda bodies.
     words = docs.select("doc_id", F.inline(F.array(F.struct(_words(F.coalesce("text", F.lit(""))).alias("_w")))))
@@ -142,8 +150,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         (w * F.col("stride")).cast("long").alias("first_word"),
         F.array_distinct(F.transform(F.filter("hits", lambda x: inside(x, w)), lambda x: x.h)).alias("held"),
         F.array_join(F.slice("_w", (begin(w) + 1).cast("int"), ((w + 2) * F.col("stride") + SHINGLE - 1 + AROUND - begin(w)).cast("int")), " ").alias("said")))))
-    banded = windows.select("doc_id", "stride", "first_word", "held", "said", F.explode(_bands(F.col("held"))).alias("b"))
-    wanted = known.select("stride", "license", "template", "hashes", "key", F.explode(_bands(F.col("hashes"))).alias("b"))
+    single = lambda hashes: F.transform(hashes, lambda h: F.struct(F.lit(-1).alias("band"), h.alias("value")))
+    ways = F.when(F.size("held") > of_stride(full), F.concat(_bands(F.col("held")), single("held"))).otherwise(_bands(F.col("held")))
+    banded = windows.where(F.size("held") >= of_stride(least)).select("doc_id", "stride", "first_word", "held", "said", F.explode(ways).alias("b"))
+    wanted = known.select("stride", "license", "template", "hashes", "key", F.explode(F.concat(_bands(F.col("hashes")), single("hashes"))).alias("b"))
     met = banded.select("doc_id", "stride", "first_word", "held", "said", "b.band", "b.value").join(
         F.broadcast(wanted.select("stride", "license", "template", "hashes", "key", "b.band", "b.value")), ["stride", "band", "value"])
     share = F.size(F.array_intersect("held", "hashes")) / F.size("hashes")

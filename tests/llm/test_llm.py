@@ -225,6 +225,17 @@ def test_each_license_notice_is_told_from_its_relatives(spark):
     assert {i: got.get(i, set()) for i in range(len(cases))} == {i: names for i, (names, _) in enumerate(cases)}
 
 
+def test_no_license_of_a_list_is_lost(spark):
+    rng = random.Random(11)
+    texts = {f"L{i}": [" ".join(f"w{i}x{k}" for k in range(9))] for i in range(30)}
+    lists = [rng.sample(sorted(texts), 12) for _ in range(1000)]
+    rows = [(i, " ".join(texts[name][0] for name in chosen)) for i, chosen in enumerate(lists)]
+    got = {}
+    for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [(i, name) for i, chosen in enumerate(lists) for name in chosen if name not in got[i]] == []
+
+
 @pytest.mark.parametrize("values", [[0], [5, 5, 5], [0, 65534, 65535, 65536, 400000, (1 << 24)], list(range(0, 1 << 24, 99991))])
 def test_packed_codes_come_back(values):
     assert repeats.unpack_codes(repeats.pack_codes(np.array(values))).tolist() == values
