@@ -19,9 +19,19 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the one with the smallest doc_id."""
-    gone = nearcopies.near_components(docs, 5, 80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of near copies (five-word shingles, similarity 0.8) the row with the smallest doc_id; a null one comes last.
+
+    Rows are told apart by a number, not by doc_id: of repeated rows of an id one stays, as of other
+    copies, rows of one id with different texts are judged each by its own text, and copies without
+    doc_id go like others. Rows without words are copies of nothing and stay.
+    """
+    numbered = settle(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    near = nearcopies.near_components(numbered.select(F.col("row").alias("doc_id"), "text"), 5, 80)
+    placed = settle(near.select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", "doc_id"), "row"), "placed")
+    first = placed.groupBy("component_id").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("n > 1")
+    gone = placed.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("row")
+    return numbered.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +48,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = contamination.find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(settle(found, "contaminated"), "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold no benchmark passage.
+
+    Texts are told apart by their digest, not by doc_id: a row goes by its own text alone, also where
+    its doc_id is null or stands at further rows with other texts. Null texts stay.
+    """
+    keyed = docs.withColumn("digest", F.sha2("text", 256))
+    found = contamination.find_passages(keyed.select(F.col("digest").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = settle(found.select(F.col("doc_id").alias("digest")).distinct(), "contaminated")
+    return keyed.join(gone, "digest", "left_anti").select(COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

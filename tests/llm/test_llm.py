@@ -14,6 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from adplan.llm import bpe, chat, contamination, language, licenses, nearcopies, quality, repeats, sharding, warc
 
 random.seed(3)
@@ -273,3 +274,17 @@ def test_bundled_buckets_meet_like_single_ones():
     assert wanted and got.keys() == wanted.keys()
     assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
     assert not len(nearcopies.meetings(block[block.right], 0.8))
+
+
+def test_pipeline_drops_rows_by_their_own_text(spark, tmp_path):
+    one, two, three = prose(80), prose(80), prose(80)
+    spark.createDataFrame([(7, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema)
+    left = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.source) for r in df.collect())
+    held = prose(20) + " " + PASSAGE + " " + prose(20)
+    rows = [(None, held, "a"), (None, one, "b"), (1, held, "c"), (1, two, "d"), (2, None, "e"), (None, None, "f"), (3, held, "g")]
+    assert left(corpus_pipeline.without_benchmark(spark, frame(rows), str(tmp_path))) == left(frame([rows[k] for k in (1, 3, 4, 5)]))
+    rows = [(None, one, "a"), (None, one, "a"), (5, two, "a"), (5, two, "a"), (9, three, "a"), (4, three, "a"), (9, prose(80), "b"),
+            (None, three, "c"), (None, None, "d"), (None, None, "d"), (6, "", "e"), (6, "", "e")]
+    assert left(corpus_pipeline.one_of_each_group(spark, frame(rows), str(tmp_path))) == left(frame([rows[k] for k in (0, 2, 5, 6, 8, 9, 10, 11)]))
