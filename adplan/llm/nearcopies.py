@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a, b of representatives whose sizes and registers allow the threshold."""
+    """Pairs a, b of sets (by number, rep) whose sizes and registers allow the threshold."""
 
     @F.pandas_udf("double")
     def joint(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
@@ -115,11 +115,13 @@ def likely_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return both.where(joint("ra", "rb", "na", "nb") >= threshold - SLACK).select("a", "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs a, b whose full sets reach the similarity. One text is read for each id."""
+def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b of the first documents of those pairs of sets whose full sets reach the similarity."""
+    first = lambda c: sets.select(F.col("rep").alias(c), F.col("first").alias(f"f{c}"))
+    pairs = pairs.join(first("a"), "a").join(first("b"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = settle(docs.select("doc_id", "text").join(wanted, "doc_id"), "near-texts")
-    # Documents of one id and different texts: each of them may confirm a link.
+    # Documents of one id and different texts: each of them may confirm a link, as their sets share a component.
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
 
     @F.pandas_udf("boolean")
@@ -190,8 +192,8 @@ def remaining_pairs(bands: DataFrame, labels: DataFrame, sets: DataFrame, tested
     A bucket's largest component is cut into parts; only the rows outside it travel to every part.
     Buckets of one part share calls of about BUNDLE rows.
     """
-    placed = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = bands.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
+        "key", "rep", F.coalesce("component", "first").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.max(F.struct("n", "component")).alias("top")).where("groups > 1 and rows > 2")
     rows = placed.join(mixed.select("key", "rows", "top"), "key").join(sets, "rep")
@@ -224,29 +226,34 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands is first compared with its smallest document; what that leaves in different components
     of a bucket is compared in further rounds until no likely pair is untested, so a bucket's
     size costs no link. Empty and null texts, and rows without doc_id, link with nothing
-    (component_id is the doc_id itself). Rows that repeat a doc_id share its component. Extra
-    columns are ignored; an empty table gives no rows.
+    (component_id is the doc_id itself). Rows with words that repeat a doc_id share its component,
+    whatever their texts: each set is compared by its own sketch, and sets that share a doc_id are
+    linked. Extra columns are ignored; an empty table gives no rows.
     """
     threshold = percent / 100
     sketched = settle(sketch(docs, k), "sketches")
     sets = settle(sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n")), "sets")
+        F.min("doc_id").alias("first"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "sets")
     slices = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS).alias("r")) for i in range(REGISTERS // ROWS)])
-    bands = sets.select("rep", F.explode(slices).alias("band")).select(F.xxhash64("band.i", "band.r").alias("key"), "rep")
+    bands = sets.select("rep", "first", F.explode(slices).alias("band")).select(F.xxhash64("band.i", "band.r").alias("key"), "rep", "first")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = settle(bands.join(buckets, "key").select("key", "rep", "a", "n"), "buckets")
-    own = sets.select("rep", "regs", "n").groupBy("rep").agg(F.min("regs").alias("regs"), F.min("n").alias("n"))
+    shared = settle(bands.join(buckets, "key").select("key", "rep", "first", "a", "n"), "buckets")
+    own = sets.select("rep", "regs", "n")
+    # Sets that share a doc_id, through the smallest first document among them; most ids have one set.
+    holders = sketched.where("doc_id is not null").join(sets.select("set_id", "first"), "set_id").select("doc_id", "first").distinct()
+    several = holders.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("most")).where("a <> most").select("doc_id", "a")
+    same_id = settle(holders.join(several, "doc_id").where("first <> a").select("a", F.col("first").alias("b")).distinct(), "same-id")
     stars = shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     tested = settle(likely_pairs(stars, own, threshold), "pairs")
-    links = confirm(tested, docs, k, percent)
+    links = confirm(tested, sets, docs, k, percent).union(same_id)
     labels = components(links)
-    bands = shared.where("n > 2").select("key", "rep")
+    bands = shared.where("n > 2").select("key", "rep", "first")
     for most in (4, 64, None):
         likely = settle(remaining_pairs(bands, labels, own, tested, threshold, most), "pairs")
         fresh = likely.where("not later").select("a", "b")
         if fresh.isEmpty():
             break
-        found = confirm(fresh, docs, k, percent)
+        found = confirm(fresh, sets, docs, k, percent)
         tested = tested.union(fresh)
         if not found.isEmpty():
             links = links.union(found)
@@ -254,8 +261,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # Without a row that has further likely pairs, every likely pair is tested.
         if likely.where("more").isEmpty():
             break
-    of_set = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    # Rows of one doc_id and different sets reach each other through the id they share.
+    of_set = sets.join(labels.withColumnRenamed("node", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component_id"))
     out = sketched.join(of_set, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -65,6 +65,18 @@ def test_a_link_that_no_bucket_centre_shows_is_kept(spark):
     assert {r.component_id for r in nearcopies.near_components(df, 4, 80).collect()} == {0}
 
 
+def test_rows_of_one_id_are_compared_by_their_own_texts(spark):
+    alike = [prose(200) for _ in range(12)]
+    rows = []
+    for i, text in enumerate(alike):  # each id holds a long text of its own and a near copy of a smaller id's text
+        rows += [(i, text), (100 + i, text.rsplit(" ", 10)[0]), (100 + i, prose(90 + 60 * (i % 3)))]
+    other = prose(100)
+    rows += [(50, other), (60, other), (60, prose(100)), (61, prose(100)), (70, ""), (None, other)]  # 60's sets have different first documents
+    got = nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    wanted = {100 + i: i for i in range(12)} | {i: i for i in range(12)} | {50: 50, 60: 50, 61: 61, 70: 70, None: None}
+    assert {(r.doc_id, r.component_id) for r in got} == set(wanted.items())
+
+
 def test_joint_estimate_is_near_the_truth():
     import numpy as np
 
