@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adplan.llm import bpe, chat, contamination, language, licenses, nearcopies, quality, repeats, sharding, warc
+from adplan.llm import bpe, chat, contamination, exactcopies, language, lexical, licenses, nearcopies, quality, repeats, sharding, spelling, warc
 from adplan.llm.common import table
 
 
@@ -69,8 +69,21 @@ def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_block_maxima_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_stateful_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactcopies.exact_copies(spark, f"{sf_dir}/documents.parquet")
+
+
+def op13_reduced_alphabet_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_transactions, op2_hierarchical_language, op3_weighted_hash_tree, op4_transducer_bpe,
     op5_suffix_repeats, op6_decision_list, op7_setsketch_near_copies,
     op8_benchmark_passages, op9_chat_format, op10_license_notices,
+    op11_block_maxima_search, op12_stateful_exact_copies, op13_reduced_alphabet_variants,
 )}
