@@ -15,6 +15,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # No space set aside ahead: it is megabytes for every partition of the state, however small.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _ARRIVED = "doc_id long, file string, row long, digest binary, batch long"
 _RETAINED = "digest binary, group_size long, keep struct<doc_id:long,file:string,row:long>, first struct<batch:long,file:string,row:long>, last long"
