@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adplan.llm.common import shared_folder
+from adplan.llm.common import settle, shared_folder
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The state lives in RocksDB on the executors' disks; what a batch changes goes to the checkpoint.
@@ -18,6 +18,8 @@ _STATE = {
     # No space set aside ahead: it is megabytes for every partition of the state, however small.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Bits that mark wanted rows before their texts move: 1,024 bitmaps of 4 KB, however many rows there are.
+MARKS = 2**25
 _ARRIVED = "doc_id long, file string, row long, digest binary, batch long"
 _RETAINED = "digest binary, group_size long, keep struct<doc_id:long,file:string,row:long>, first struct<batch:long,file:string,row:long>, last long"
 
@@ -77,8 +79,7 @@ class Deduplicator:
 
     def _located(self, rows: DataFrame) -> DataFrame:
         at = rows.metadataColumn("_metadata")
-        return rows.select(rows["doc_id"].cast("long").alias("doc_id"), normalised(rows["text"]).alias("text"),
-                           at["file_path"].alias("file"), at["row_index"].alias("row"))
+        return rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["text"], at["file_path"].alias("file"), at["row_index"].alias("row"))
 
     def _written(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/*")
@@ -91,7 +92,7 @@ class Deduplicator:
     def advance(self) -> Deduplicator:
         """Take in all files that came since the last call."""
         rows = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(_pattern(self.source))
-        arriving = self._located(rows).select("doc_id", "file", "row", self.digest(F.col("text")).alias("digest"))
+        arriving = self._located(rows).select("doc_id", "file", "row", self.digest(normalised(F.col("text"))).alias("digest"))
 
         def note(batch: DataFrame, number: int) -> None:
             batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/arrived/{number}")
@@ -121,9 +122,19 @@ class Deduplicator:
         mixed.where("texts > 1").select("digest").write.mode("overwrite").parquet(f"{self.folder}/mixed/{number}")
 
     def _texts(self, rows: DataFrame) -> DataFrame:
-        """The rows (file, row, anything else) with their texts, read where they lie."""
+        """The rows (file, row, anything else) with their normalised texts, read where they lie.
+
+        Bitmaps of the wanted rows' hashes keep most other texts from moving; what their chance agreement
+        lets through, the join takes out.
+        """
+        bit = F.pmod(F.xxhash64("file", "row"), F.lit(MARKS))
+        marks = rows.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("marks"))
         contents = self._located(self.spark.read.schema(self.schema).parquet(self.source)).drop("doc_id")
-        return contents.join(rows, ["file", "row"])
+        placed = contents.withColumns({"bucket": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)})
+        byte = F.conv(F.hex(F.substring("marks", F.expr("cast(place div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+        marked = placed.join(F.broadcast(marks), "bucket").where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
+        return marked.select("file", "row", "text").join(rows, ["file", "row"]).withColumn("text", normalised(F.col("text")))
 
     def result(self) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256, one per row that arrived.
@@ -135,6 +146,7 @@ class Deduplicator:
         retained = self._written("retained", _RETAINED) if self._any("arrived") else self.spark.createDataFrame([], _RETAINED)
         # The count of a digest only grows: the largest is the latest.
         latest = retained.groupBy("digest").agg(F.max(F.struct("group_size", "keep")).alias("s")).select("digest", "s.group_size", "s.keep")
+        latest = settle(latest, "latest")  # so that adaptive execution can split a digest that many rows share
         told = arrived.join(latest, "digest")
         if self._any("arrived"):
             mixed = self._written("mixed", "digest binary").distinct()
