@@ -435,11 +435,18 @@ SELECT 'ads' AS kind, count(*) AS row_count, '' AS missing, true AS is_valid FRO
 UNION ALL SELECT 'ads', count(*), 'spend,ad_sales', false FROM ads
 UNION ALL SELECT 'vendor', count(*), '', true FROM ven
 UNION ALL SELECT 'vendor', count(*), 'ordered_revenue', false FROM ven""")
-oracle("parse_date_range", """
-SELECT l_linenumber, CASE WHEN l_linenumber IN (1, 2, 3, 5, 6) THEN CAST(l_shipdate AS DATE) END AS start,
+for _name in ("parse_date_range", "parse_date_range_day_first"):
+    oracle(_name, """
+SELECT l_linenumber, CASE WHEN l_linenumber IN (1, 2, 3, 5, 6) OR l_linenumber = 7 AND l_orderkey % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS start,
  count(*) AS rows FROM lineitem GROUP BY ALL""")
 oracle("resolve_date", """
-SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS rows FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL""")
+SELECT CASE WHEN l_linenumber < 6 THEN CAST(l_shipdate AS DATE) END AS date, count(*) AS rows FROM lineitem GROUP BY ALL""")
+oracle("date_summary", union([
+    f"""SELECT '{c}' AS "column", count(*) FILTER ({filled}) AS filled, count(*) FILTER ({dated}) AS dated,
+ count(*) FILTER (({filled}) AND NOT ({dated})) AS undated, {first} AS day_first, {chosen} AS chosen FROM lineitem"""
+    for c, filled, dated, first, chosen in (("start_date", "true", "false", "false", "false"),
+                                            ("report_date", "l_linenumber < 7", "l_linenumber < 6", "true", "true"),
+                                            ("week_date", "true", "true", "false", "false"))]))
 oracle("period_start", """
 SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
  count(*) AS rows FROM orders GROUP BY ALL""")

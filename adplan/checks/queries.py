@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adplan import fixtures
@@ -215,28 +215,55 @@ def validate_reports(spark, d):
             .unionByName(ingest.validate(ven.drop("ordered_revenue", "shipped_revenue"), "vendor")))
 
 
+def _printed_ranges(day: str) -> Column:
+    """Ship dates the way reports print ranges; `day` is how numbers are ordered."""
+    start = F.col("l_shipdate")
+
+    def ending(days: int, shown: str, dash: str = " - "):
+        return F.concat(F.date_format(start, shown), F.lit(dash), F.date_format(F.date_add(start, days), shown))
+
+    line = F.col("l_linenumber")
+    return (F.when(line == 1, ending(30, "yyyy-MM-dd")).when(line == 2, ending(6, "MMM d, yyyy", " – "))
+            .when(line == 3, ending(90, "MMMM d yyyy")).when(line == 4, ending(364, "MMM d, yyyy"))
+            .when(line == 5, F.date_format(start, "yyyy-MM-dd")).when(line == 6, F.date_format(start, day))
+            .when(F.col("l_orderkey") % 2 == 0, ending(13, day)).otherwise("no date"))
+
+
+def _starts(spark, d, day):
+    # Undated rows are those without a start; the order of numbers is found from the column.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return dates.with_range_start(lines, _printed_ranges(day), "start").groupBy("l_linenumber", "start").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def parse_date_range(spark, d):
-    day = F.col("l_shipdate")
-    shown = (F.when(F.col("l_linenumber") == 1, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" - "), F.date_format(F.date_add(day, 30), "yyyy-MM-dd")))
-             .when(F.col("l_linenumber") == 2, F.concat(F.date_format(day, "MMM d, yyyy"), F.lit(" – "), F.date_format(F.date_add(day, 6), "MMM d, yyyy")))
-             .when(F.col("l_linenumber") == 3, F.concat(F.date_format(day, "MMMM d yyyy"), F.lit(" - "), F.date_format(F.date_add(day, 90), "MMMM d yyyy")))
-             .when(F.col("l_linenumber") == 4, F.concat(F.date_format(day, "MMM d, yyyy"), F.lit(" - "), F.date_format(F.date_add(day, 364), "MMM d, yyyy")))
-             .when(F.col("l_linenumber") == 5, F.date_format(day, "yyyy-MM-dd"))
-             .when(F.col("l_linenumber") == 6, F.date_format(day, "MM/dd/yyyy"))
-             .otherwise("no date"))
-    out = dates.with_range_start(table(spark, d, "lineitem"), shown, "start")
-    return out.groupBy("l_linenumber", "start").agg(F.count(F.lit(1)).alias("rows"))
+    return _starts(spark, d, "MM/dd/yyyy")
 
 
 @query
-def resolve_date(spark, d):
-    lines = table(spark, d, "lineitem").select(
+def parse_date_range_day_first(spark, d):
+    return _starts(spark, d, "d/M/yyyy")
+
+
+def _dated_report(spark, d):
+    """A report whose start dates are no dates, whose report dates have the day first, or are missing, and whose weeks are ISO."""
+    return table(spark, d, "lineitem").select(
         F.lit("n/a").alias("start_date"),
-        F.when(F.col("l_linenumber") < 6, F.date_format("l_shipdate", "d MMM yyyy")).alias("report_date"),
+        F.when(F.col("l_linenumber") < 5, F.date_format("l_shipdate", "dd/MM/yyyy"))
+        .when(F.col("l_linenumber") == 5, F.date_format("l_shipdate", "d MMM yyyy"))
+        .when(F.col("l_linenumber") == 6, F.lit("soon")).alias("report_date"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("week_date"), "l_quantity")
-    out = ts.resolve_date(lines)
-    return out.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def resolve_date(spark, d):
+    # The row without a date counts the undated ones.
+    return ts.resolve_date(_dated_report(spark, d), keep_undated=True).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def date_summary(spark, d):
+    return ts.date_summary(_dated_report(spark, d))
 
 
 @query

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = ("january february march april may june july august september "
           "october november december").split()
-
-ISO_RANGE = r"(\d{4}-\d{2}-\d{2})\s*[-–]\s*(\d{4}-\d{2}-\d{2})"
-NAME_RANGE = (r"([A-Za-z]+\s+\d{1,2},?\s*\d{4})\s*[-–]\s*"
-              r"([A-Za-z]+\s+\d{1,2},?\s*\d{4})")
 FULL_YEAR_DAYS = 350
 
+_SPELLINGS = {s: i for i, m in enumerate(MONTHS, start=1) for s in (m, m[:3], *["sept"] * (i == 9))}
+_WORD = "[A-Za-z]+|[0-9]+"
+_DATE_WORD = rf"\b(?:(?i:{'|'.join(sorted(_SPELLINGS, key=len, reverse=True))})|[0-9]+)\b"
+# Numbers of two digits (or one) before a year, as in 31/01/2025.
+_LOOSE = r"(?<![0-9A-Za-z])([0-9]{2}|[0-9](?=[^0-9]))[/.-]([0-9]{2}|[0-9](?=[^0-9]))[/.-][0-9]{4}(?![0-9])"
+_TIME_OF_DAY = r"T?\d+:[\d:.]+\s*(?:[AaPp]\.?[Mm]\.?|Z)?"
+
 
-def _month_number(name: Column) -> Column:
-    pairs: list[Column] = []
-    for i, m in enumerate(MONTHS, start=1):
-        for spelling in dict.fromkeys([m, m[:3]] + ["sept"] * (m == "september")):
-            pairs += [F.lit(spelling), F.lit(i)]
-    return F.try_element_at(F.create_map(*pairs), F.lower(name))
+class Reading(NamedTuple):
+    """What a column of date texts is: rows with a text, rows with a date, and the order of day and month."""
 
+    filled: int
+    dated: int
+    day_first: bool
 
-def _small_number(word: Column) -> Column:
-    """Up to eight digits as a number. Only such words reach the cast: a failing
-    ``try_cast`` builds an exception per row."""
-    digits = F.length(word).between(1, 8) & (F.translate(word, "0123456789", "") == "")
-    return F.when(digits, word.cast("int"))
+    @property
+    def undated(self) -> int:
+        return self.filled - self.dated
 
 
 def _settled(df: DataFrame, keep: list[str], value: Column, out: str) -> DataFrame:
@@ -41,77 +44,130 @@ def _settled(df: DataFrame, keep: list[str], value: Column, out: str) -> DataFra
 
 
 def _with_words(df: DataFrame, keep: list[str], source: Column) -> DataFrame:
-    """Cut a date text into its first six words and numbers.
+    """``__day`` of plain ISO texts; the words and numbers of all others as ``__words``, ``__n`` of them.
 
-    Texts in the usual spelling are cut without regular expressions. What has a time of
-    day, odd spacing or further words goes through the patterns.
+    A time of day goes first. Six words with a dash among them are two dates. Where there are more, only numbers and
+    months count; other numbers of words are no date.
     """
     cut = df.select(*keep, F.trim(source.cast("string")).alias("__text"))
     text = F.col("__text")
-    plain = text
-    for joint in (", ", " - ", " – "):
-        plain = F.replace(plain, F.lit(joint), F.lit(" "))
-    cut = cut.select("*", F.split(F.translate(plain, "-–/,", "    "), " ").alias("__fast"))
-    n = F.size("__fast")
-    usual = (n <= 3) | (n == 6)
-    simple = usual & ~F.array_contains("__fast", "") & ~text.contains(":") & ~text.contains(".")
-    span = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (ISO_RANGE, NAME_RANGE)], text)
-    words = F.when(simple, F.col("__fast")).otherwise(F.split(span, r"[^A-Za-z0-9]+|(?<=\d)T(?=\d)"))
-    cut = cut.select(*keep, words.alias("__words"), text.contains(":").alias("__timed"))
-    return cut.select(
-        *keep, F.size("__words").alias("__n"), "__timed",
-        *[F.get("__words", F.lit(i)).alias(f"__w{i}") for i in range(6)])
-
-
-def _with_day(df: DataFrame, at: int, name: str) -> DataFrame:
-    """Read three words from position ``at`` as a date; ``__n`` says how many there are."""
+    plain = (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    bare = F.when(text.contains(":"), F.regexp_replace(text, _TIME_OF_DAY, " ")).otherwise(text)
+    words = F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0))
+    cut = _settled(cut.withColumn("__day", F.when(plain, text.try_cast("date"))), [*keep, "__text", "__day"], F.when(~plain, words), "__words")
+    n, dash = F.size("__words"), text.contains("-") | text.contains("–")
+    words = F.when((n > 6) & dash, F.regexp_extract_all(bare, F.lit(_DATE_WORD), F.lit(0))).otherwise(F.col("__words"))
+    cut = cut.select(*keep, "__day", words.alias("__words"), dash.alias("__dash"))
+    return cut.select(*keep, "__day", "__words", F.when((n <= 3) | ((n == 6) & F.col("__dash")), n).alias("__n"))
+
+
+def _with_parts(df: DataFrame, at: int, name: str, n: Column) -> DataFrame:
+    """Read up to three words from position ``at`` as the texts of year, month and day.
+
+    ``loose`` tells that two numbers before the year could be either: month and day are then in the
+    order of the text.
+    """
     keep = df.columns
-    w = [F.col(f"__w{at + i}") for i in range(3)]
-    cut = df.select(
-        *keep, *[_small_number(x).alias(f"__i{i}") for i, x in enumerate(w)],
-        *[_month_number(x).alias(f"__m{i}") for i, x in enumerate(w[:2])])
-    i0, i1, i2, m0, m1 = (F.col(f"__{x}") for x in ("i0", "i1", "i2", "m0", "m1"))
+    number = F.create_map(*[F.lit(str(x)) for pair in _SPELLINGS.items() for x in pair])
+    words = [F.get("__words", F.lit(at + i)) for i in range(3)]
+    named = [w > "9z" for w in words[:2]]
+    a, b = (F.when(x, F.try_element_at(number, F.lower(w))).otherwise(w) for x, w in zip(named, words, strict=False))
+    cut = df.select(*keep, n.alias("__k"), a.alias("__a"), b.alias("__b"), words[2].alias("__c"), named[0].alias("__x"), named[1].alias("__y"))
+    k, a, b, c, x, y = (F.col(f"__{i}") for i in "kabcxy")
+    first = F.length(a) == 4
+    three = F.when(first, _parts(a, b, c)).when(y, _parts(c, b, a)).otherwise(_parts(c, a, b, F.coalesce(~x, F.lit(False))))
+    two = F.when(first, _parts(a, b, F.lit("1"))).otherwise(_parts(b, a, F.lit("1")))
+    one = F.when(F.length(a) == 8, _parts(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2)))
+    return _settled(cut, keep, F.when(k == 3, three).when(k == 2, two).when(k == 1, one), name)
+
+
+def _parts(year: Column, month: Column, day: Column, loose: Column | None = None) -> Column:
+    return F.struct(year.alias("y"), month.alias("m"), day.alias("d"), (F.lit(False) if loose is None else loose).alias("loose"))
+
+
+def _date(parts: str, day_first: bool) -> Column:
+    """The date of year, month and day; null where there is none, which the cast finds without an exception."""
+    y, m, d = (F.col(f"{parts}.{x}") for x in "ymd")
+    shown = F.concat_ws("-", y, m, d)
+    if day_first:
+        shown = F.when(F.col(f"{parts}.loose"), F.concat_ws("-", y, d, m)).otherwise(shown)
+    return F.when((F.length(y) == 4) & m.isNotNull() & d.isNotNull(), shown.try_cast("date"))
+
+
+def _with_reading(df: DataFrame, keep: list[str], source: Column, ranges: bool) -> DataFrame:
+    """``__day`` of plain texts, ``__start`` (and ``__end`` for ranges) as parts of all others."""
+    read = _with_words(df, keep, source)
     n = F.col("__n")
-    three = (n == 3) | (n == 6) | (F.col("__timed") & n.between(4, 8))
-    year_at = [(F.length(w[i]) == 4) & x.isNotNull() for i, x in enumerate((i0, i1, i2))]
-    year_first, year_last = three & year_at[0], three & year_at[2]
-    packed = (n == 1) & (F.length(w[0]) == 8)
-    year = (F.when((n <= 3) & year_at[0] | year_first, i0).when(year_last, i2)
-            .when((n == 2) & year_at[1], i1).when(packed, F.floor(i0 / 10000)))
-    month = (F.when((n >= 2) & year_at[0], i1)
-             .when(year_last, F.when(i1.isNull(), m1).otherwise(F.coalesce(i0, m0)))
-             .when((n == 2) & year_at[1], m0).when(packed, F.floor(i0 / 100) % 100))
-    day = (F.when(year_first, i2).when(year_last, F.coalesce(i1, i0))
-           .when(n == 2, F.lit(1)).when(packed, i0 % 100))
-    midnight = F.lit(0).cast("decimal(16,6)")
-    moment = F.try_make_timestamp_ntz(
-        year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), midnight)
-    return _settled(cut, keep, moment.cast("date"), name)
-
-
-def with_date(df: DataFrame, source: Column, out: str) -> DataFrame:
+    if not ranges:
+        return _with_parts(read, 0, "__start", F.when(n <= 3, n))
+    return _with_parts(_with_parts(read, 0, "__start", F.least(n, F.lit(3))), 3, "__end", F.when(n == 6, F.lit(3)))
+
+
+def _found(ranges: bool, day_first: bool) -> Column:
+    start = _date("__start", day_first)
+    if ranges:
+        short = F.datediff(_date("__end", day_first), start) < FULL_YEAR_DAYS
+        start = F.when((F.col("__n") <= 3) | short, start)
+    return F.coalesce("__day", start)
+
+
+def day_first(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, bool]:
+    """Whether numbers before a year have the day first, for each text column (name: whether it holds ranges),
+    from one aggregation over all rows.
+
+    A first number above 12 speaks for the day first, a second one above 12 for the month first. The majority
+    holds for the whole column; without any, the month is first. Of ranges both ends speak.
+    """
+    def above(x: Column) -> Column:
+        return (F.length(x) == 2) & (x > "12")  # of two digits, a larger text is a larger number
+
+    votes = []
+    for n, ranges in columns.items():
+        vote = F.lit(0)
+        for pattern in (_LOOSE, f".*{_LOOSE}") if ranges else (_LOOSE,):
+            first, second = (F.regexp_extract(F.col(f"`{n}`").cast("string"), pattern, i) for i in (1, 2))
+            vote = vote + F.count_if(above(first)) - F.count_if(above(second))
+        votes.append(vote.alias(n))
+    found = df.agg(*votes).first() if votes else {}
+    return {n: found[n] > 0 for n in columns}
+
+
+def date_readings(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, Reading]:
+    """How each of some text columns reads (name: whether it holds ranges): filled and dated rows, day first or not."""
+    order = day_first(df, columns)
+    out: dict[str, Reading] = {}
+    for n, ranges in columns.items():
+        read = (with_range_start if ranges else with_date)(df.select(F.col(f"`{n}`").cast("string").alias("t")), F.col("t"), "d", order[n])
+        r = read.agg(F.count("t").alias("filled"), F.count("d").alias("dated")).first()
+        out[n] = Reading(r.filled, r.dated, order[n])
+    return out
+
+
+def _order(df: DataFrame, source: Column, ranges: bool, told: bool | None) -> bool:
+    return told if told is not None else day_first(df.select(source.alias("t")), {"t": ranges})["t"]
+
+
+def with_date(df: DataFrame, source: Column, out: str, day_first: bool | None = None) -> DataFrame:
     """Add a date read from a text in any of the usual report spellings, else null.
 
-    ``2025-01-31``, ``2025/1/31``, ``20250131``, ``2025-01``, ``1/31/2025``,
-    ``Jan 31, 2025``, ``31 January 2025``, ``Jan 2025``; a time of day may follow.
+    ``2025-01-31``, ``2025/1/31``, ``20250131``, ``2025-01``, ``1/31/2025``, ``31/1/2025``,
+    ``Jan 31, 2025``, ``31 January 2025``, ``Jan 2025``; a time of day may follow. Whether the day or the
+    month is first in ``1/2/2025`` holds for the whole column: as told, or as its rows show (one job).
     """
+    first = _order(df, source, False, day_first)
     keep = [c for c in df.columns if c != out]
-    read = _with_day(_with_words(df, keep, source), 0, "__start")
-    single = (F.col("__n") != 6) | F.col("__timed")
-    return _settled(read, keep, F.when(single, F.col("__start")), out)
+    return _settled(_with_reading(df, keep, source, False), keep, _found(False, first), out)
 
 
-def with_range_start(df: DataFrame, source: Column, out: str) -> DataFrame:
+def with_range_start(df: DataFrame, source: Column, out: str, day_first: bool | None = None) -> DataFrame:
     """Add the start of a date range; null for ranges of a year or so.
 
-    A text that holds a range never falls through to the single-date reading, even
-    when the range itself is unusable.
+    A range is two dates of three words each with a dash between. A text that holds one never falls through
+    to the single-date reading, even when the range itself is unusable.
     """
+    first = _order(df, source, True, day_first)
     keep = [c for c in df.columns if c != out]
-    read = _with_day(_with_day(_with_words(df, keep, source), 0, "__start"), 3, "__end")
-    single = (F.col("__n") != 6) | F.col("__timed")
-    short = F.datediff("__end", "__start") < FULL_YEAR_DAYS
-    return _settled(read, keep, F.when(single | short, F.col("__start")), out)
+    return _settled(_with_reading(df, keep, source, True), keep, _found(True, first), out)
 
 
 def period_start(c: Column, freq: str) -> Column:

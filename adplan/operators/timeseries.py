@@ -3,47 +3,80 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adplan.functions.dates import period_start, with_date, with_range_start
+from adplan.functions.dates import Reading, date_readings, day_first, period_start, with_date, with_range_start
 from adplan.functions.numeric import have, ratio, rnd, total, totals
 from adplan.functions.schema import CORE_MEASURES, DATE_COLUMNS
 from adplan.operators.ratios import add_ctr, add_ratios
 
 
-def _with_date_of(df: DataFrame, name: str, out: str) -> DataFrame:
+class DateChoice(NamedTuple):
+    """The date column of a report, and whether numbers in it have the day first."""
+
+    column: str
+    day_first: bool
+
+
+def _typed(df: DataFrame, name: str) -> bool:
     kind = dict(df.dtypes)[name]
-    if kind == "date" or kind.startswith("timestamp"):
+    return kind == "date" or kind.startswith("timestamp")
+
+
+def _read(df: DataFrame, name: str, out: str, day_first: bool | None) -> DataFrame:
+    if _typed(df, name):
         return df.withColumn(out, F.col(name).cast("date"))
-    read = with_range_start if name == "date_range" else with_date
-    return read(df, F.col(name), out)
+    return (with_range_start if name == "date_range" else with_date)(df, F.col(name), out, day_first)
 
 
-def date_column(df: DataFrame) -> str | None:
-    """The date column to use for the whole table: the first, in order of preference,
-    that holds any readable date.
+def date_choice(df: DataFrame) -> DateChoice | None:
+    """The date column to use for the whole table: the first, in order of preference, that holds any
+    readable date; and the order of day and month in it, as its rows show.
 
-    A probe stops at the first readable date it meets, so a good column costs next to
-    nothing however large the table is; only columns without any are read to the end. The
-    last candidate needs no probe.
+    A probe stops at the first readable date it meets, so a good column costs next to nothing however large
+    the table is. Cells too short for a date are not read. The last candidate needs no probe.
     """
     names = have(df, [*DATE_COLUMNS, "date_range"])
+    if not names:
+        return None
+    column = names[-1]
     for name in names[:-1]:
-        read = _with_date_of(df.select(name), name, "__date")
-        if not read.filter(F.col("__date").isNotNull()).isEmpty():
-            return name
-    return names[-1] if names else None
-
-
-def resolve_date(df: DataFrame, date_col: str | None = None, out: str = "date") -> DataFrame:
-    """Add the resolved date and drop the rows without one."""
-    name = date_col or date_column(df)
-    if name is None:
-        raise ValueError("the report has no usable date column")
-    return _with_date_of(df, name, out).filter(F.col(out).isNotNull())
+        rows = df.select(name).filter(F.col(name).isNotNull() if _typed(df, name) else F.length(F.col(name).cast("string")) >= 6)
+        either = [rows] if _typed(df, name) else [_read(rows, name, "__date", first).filter("__date is not null") for first in (False, True)]
+        if any(not r.isEmpty() for r in either):
+            column = name
+            break
+    return DateChoice(column, not _typed(df, column) and day_first(df, {column: column == "date_range"})[column])
+
+
+def date_summary(df: DataFrame) -> DataFrame:
+    """One row per date column of a report: filled, dated and undated rows, whether the day is first, and
+    whether it is the column that `resolve_date` takes."""
+    names = have(df, [*DATE_COLUMNS, "date_range"])
+    texts = [n for n in names if not _typed(df, n)]
+    found = date_readings(df, {n: n == "date_range" for n in texts}) if texts else {}
+    if len(texts) < len(names):
+        filled = df.agg(*[F.count(F.col(n)).alias(n) for n in names if n not in texts]).first()
+        found |= {n: Reading(filled[n], filled[n], False) for n in names if n not in texts}
+    chosen = next((n for n in names if found[n].dated), names[-1] if names else None)
+    rows = [(n, found[n].filled, found[n].dated, found[n].undated, found[n].day_first, n == chosen) for n in names]
+    return df.sparkSession.createDataFrame(rows, "column string, filled long, dated long, undated long, day_first boolean, chosen boolean")
+
+
+def resolve_date(df: DataFrame, date_col: str | None = None, out: str = "date", day_first: bool | None = None,
+                 keep_undated: bool = False) -> DataFrame:
+    """Add the resolved date and drop the rows without one, unless they are to be kept (and counted)."""
+    if date_col is None:
+        choice = date_choice(df)
+        if choice is None:
+            raise ValueError("the report has no usable date column")
+        date_col, day_first = choice.column, choice.day_first if day_first is None else day_first
+    dated = _read(df, date_col, out, day_first)
+    return dated if keep_undated else dated.filter(F.col(out).isNotNull())
 
 
 def trend(df: DataFrame, freq: str = "W", by: Sequence[str] = (), date_col: str | None = None,

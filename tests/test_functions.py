@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from adplan.functions import labels, text
-from adplan.functions.dates import with_date, with_range_start
+from adplan.functions.dates import date_readings, with_date, with_range_start
 from adplan.functions.numeric import ratio, rnd, text_to_number, total
 
 day = datetime.date
@@ -58,13 +58,34 @@ RANGES = {
 }
 
 
-@pytest.mark.parametrize("cases,read", [(DATES, with_date), (RANGES, with_range_start)])
+DAY_FIRST = {
+    "31/01/2025": day(2025, 1, 31), "15/02/2025": day(2025, 2, 15), "01/02/2025": day(2025, 2, 1), "1-3-2025": day(2025, 3, 1),
+    "Mar 4, 2025": day(2025, 3, 4), "2025-04-05": day(2025, 4, 5), "06/05/2025 10:00": day(2025, 5, 6), "12/31/2025": None,
+    "02/2025": day(2025, 2, 1), "1/2/2025 3/4/2025": None, "a/b/2025": None, "32/01/2025": None, "29/02/2024": day(2024, 2, 29),
+    "29/02/2025": None, "0/1/2025": None, "1/0/2025": None, "20251301": None, "2025-1-1T5:00Z": day(2025, 1, 1), "1 Jan 2025 3 PM": None}
+DAY_FIRST_RANGES = {
+    "01/02/2025 - 28/02/2025": day(2025, 2, 1), "03/02/2025 – 09/02/2025": day(2025, 2, 3), "week of 05/06/2025 - 07/06/2025": day(2025, 6, 5),
+    "01/01/2025 - 31/12/2025": None, "1 May 2025 - 8 May 2025": day(2025, 5, 1), "2025-05-01 00:00 - 2025-05-02 23:59:59": day(2025, 5, 1),
+    "1/2/2025": day(2025, 2, 1)}
+
+
+@pytest.mark.parametrize("cases,read", [(DAY_FIRST, with_date), (DAY_FIRST_RANGES, with_range_start), (DATES, with_date), (RANGES, with_range_start)])
 def test_dates(spark, cases, read):
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     found = {r.t: r.d for r in read(df, F.col("t"), "d").collect()}
     assert found == cases
 
 
+def test_the_order_of_day_and_month_holds_for_the_column(spark):
+    df = spark.createDataFrame([("31/01/2025", "01/31/2025", "1/2/2025", None), ("15/02/2025", "2/1/2025", "3/4/2025", None),
+                                ("01/02/2025", "13/1/2025", None, None), ("x", "12/25/2025", "", None)], "a string, b string, c string, d string")
+    assert date_readings(df, {"a": False, "b": False, "c": False, "d": True}) == {
+        "a": (4, 3, True), "b": (4, 3, False), "c": (3, 2, False), "d": (0, 0, False)}
+    assert date_readings(df, {"a": False})["a"].undated == 1
+    told = lambda first: [r.d for r in with_date(df, F.col("c"), "d", first).collect()]
+    assert told(True)[:2] == [day(2025, 2, 1), day(2025, 4, 3)] and told(False)[:2] == [day(2025, 1, 2), day(2025, 3, 4)]
+
+
 def test_rounding_is_half_even_on_doubles(spark):
     shown = [0.125, 0.375, 2.5, -0.125, 1.005]
     assert values(spark, shown, "double", lambda c: rnd(c, 2)) == [0.12, 0.38, 2.5, -0.12, 1.0]

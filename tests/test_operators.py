@@ -138,7 +138,7 @@ def test_trend_summary_needs_two_periods(spark):
 def test_date_column_choice(spark):
     df = spark.createDataFrame([("x", None, "2025-01-05"), ("y", "1/2/2025", None)],
                                "start_date string, week_date string, date_range string")
-    assert timeseries.date_column(df) == "week_date"
+    assert timeseries.date_choice(df).column == "week_date"
     assert timeseries.resolve_date(df).count() == 1
 
 
