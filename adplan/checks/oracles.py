@@ -358,6 +358,11 @@ PARTS["recs_brand"] = recommended("camp_brand", "plan_brand", "brand")
 WHOLE = grouped("match_type, campaign_type", [*CORE, "ad_orders_ntb"])
 for _name in ("read_report", "parse_ads", "read_report_stream"):
     oracle(_name, WHOLE)
+oracle("read_report_encodings", f"""
+SELECT match_type, 'Café Größe ' || brand AS portfolio_name, {sums(["spend", "clicks"])} FROM ads GROUP BY ALL""")
+oracle("route_reports", f"""
+SELECT 'ads' AS kind, match_type AS key, {s("spend")} AS amount, {s("clicks", "report_date >= DATE '1998-01-01'")} AS units, 4 AS moved FROM ads GROUP BY match_type
+UNION ALL SELECT 'vendor', 'all', {s("ordered_revenue")}, {s("ordered_units")}, 2 FROM ven""")
 oracle("parse_vendor", vkpi("report_date"))
 oracle("classify_reports", """
 SELECT file, vendor_hits, ads_hits, CASE WHEN vendor_hits > ads_hits THEN 'vendor' ELSE 'ads' END AS kind FROM (

@@ -50,6 +50,35 @@ def read_report(spark, d):
     return by_type(reports.read_report(spark, path, "ads"))
 
 
+@query
+def read_report_encodings(spark, d):
+    # A third of the report as UTF-8, one with a byte order mark, one as Latin-1, read by one call.
+    folder = stage.new_folder(spark, "encodings")
+    raw = inp.raw_text(fixtures.raw_ads(spark, d), inp.ADS_HEADERS, F.concat(F.lit("Café Größe "), "brand").alias("Portfolio name"),
+                       (F.col("l_orderkey") % 3).alias("part"))
+    for part, (name, header, encoding) in enumerate((("plain", "", "UTF-8"), ("marked", reports.BOM, "UTF-8"), ("latin", "", "ISO-8859-1"))):
+        rows = raw.filter(F.col("part") == part).drop("part").withColumnRenamed("Date", f"{header}Date")
+        rows.write.option("header", True).option("encoding", encoding).csv(f"{folder}/{name}")
+    read = reports.read_report(spark, f"{folder}/*", "ads")
+    return bd.breakdown(read, "portfolio_name", ("spend", "clicks"), by=["match_type"])
+
+
+@query
+def route_reports(spark, d):
+    # Two headers of advertising reports and one of vendor reports, in each other's slots.
+    folder = stage.new_folder(spark, "mixed")
+    raw = fixtures.raw_ads(spark, d)
+    early = inp.raw_text(raw.filter("report_date < DATE '1998-01-01'"), inp.ADS_HEADERS).drop("Clicks")
+    late = inp.raw_text(raw.filter("report_date >= DATE '1998-01-01'"), inp.ADS_HEADERS)
+    for name, rows in (("early", early), ("late", late), ("sales", inp.raw_vendor_report(spark, d))):
+        rows.repartition(2).write.option("header", True).csv(f"{folder}/{name}")
+    found = reports.route_reports(spark, ads=f"{folder}/sales", vendor=[f"{folder}/early", f"{folder}/late"])
+    ads = bd.breakdown(found.ads, "match_type", ("spend", "clicks")).toDF("key", "amount", "units")
+    sold = kp.vendor_kpis(found.vendor).select(F.lit("all").alias("key"), F.col("total_ordered_revenue").alias("amount"), F.col("total_ordered_units").alias("units"))
+    files = found.files.groupBy("kind").agg(F.count_if("moved").alias("moved"))
+    return ads.withColumn("kind", F.lit("ads")).unionByName(sold.withColumn("kind", F.lit("vendor"))).join(files, "kind")
+
+
 @query
 def parse_ads(spark, d):
     return by_type(ingest.parse_ads(inp.raw_ads_report(spark, d)))

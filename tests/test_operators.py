@@ -224,3 +224,21 @@ def test_breakdowns_without_a_campaign_and_by_a_dimension(spark):
     own = summarise(df, {"campaign": "campaign_type", "asin": "asin"}, ["asin"])
     assert {r.asin: r.spend for r in slice_of(own, "asin", "asin").collect()} == {"a": 4.0, "b": 5.0}
     assert slice_of(own, "account").count() == 2 and slice_of(own, "campaign", "campaign_type").count() == 3
+
+
+def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
+    from adplan.sources.reports import files_by_header, read_report, route_reports
+
+    for name, text in (("a.csv", "Campaign name,Total cost,Sales\nCafé,1,2\n".encode()), ("b.csv", "Campaign name,Total cost,Sales\nGröße,3,4\n".encode("utf-8-sig")),
+                       ("c.csv", "Campaign name,Total cost,Sales\nñandú,5,6\n".encode("latin-1")), ("d.csv", b"")):
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "v.csv").write_text("ASIN,OPS ($),Glance views\nB1,10,2\n")
+    folder = str(tmp_path)
+    assert [(g.encoding, len(g.files)) for g in files_by_header(spark, f"{folder}/[a-d].csv")] == [("ISO-8859-1", 1), ("UTF-8", 2)]
+    rows = {r.campaign_name: (r.spend, r.ad_sales) for r in read_report(spark, f"{folder}/[a-d].csv").collect()}
+    assert rows == {"Café": (1.0, 2.0), "Größe": (3.0, 4.0), "ñandú": (5.0, 6.0)}
+    found = route_reports(spark, ads=f"{folder}/*.csv")
+    assert found.ads.count() == 3 and found.vendor.first().ordered_revenue == 10.0
+    assert {(r.file[-5], r.kind, r.moved) for r in found.files.collect()} == {("a", "ads", False), ("b", "ads", False), ("c", "ads", False), ("v", "vendor", True)}
+    alone = route_reports(spark, vendor=f"{folder}/a.csv")
+    assert alone.vendor is None and alone.ads.count() == 1 and alone.files.first().moved
