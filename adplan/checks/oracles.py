@@ -373,13 +373,6 @@ SELECT file, vendor_hits, ads_hits, CASE WHEN vendor_hits > ads_hits THEN 'vendo
 oracle("save_and_load_stage", f"""
 SELECT CAST(date_trunc('month', report_date) AS DATE) AS month, {sums(["spend", "ad_sales"])}
 FROM ads WHERE report_date >= DATE '1997-01-01' GROUP BY ALL""")
-oracle("write_media_plan", """
-SELECT 'executive_summary' AS "table", 10 AS rows UNION ALL SELECT 'scenarios', 3
-UNION ALL SELECT 'campaign_recommendations', count(*) FROM recs WHERE scenario_id = '+10%'
-UNION ALL SELECT 'campaign_performance', count(*) FROM camp
-UNION ALL SELECT 'asin_analysis', count(*) FROM merged
-UNION ALL SELECT 'asin_health', count(*) FROM scored UNION ALL SELECT 'monthly_plan', 36""")
-
 _summary = [
     ("Total Ordered Revenue (Vendor)", "total_ordered_revenue"), ("Total Ad Spend", "total_spend"),
     ("Total Ad-Attributed Sales", "total_ad_sales"), ("Overall ACOS (%)", "coalesce(overall_acos, 0) / 100"),
@@ -390,11 +383,13 @@ oracle("plan_executive_summary", union([
     f"SELECT {i} AS line, '{label}' AS label, {x} AS value FROM kpi CROSS JOIN vkpi"
     for i, (label, x) in enumerate(_summary, start=1)]))
 _channels = [("sponsored_products", "0.65"), ("sponsored_brands", "0.25"), ("sponsored_display", "0.1")]
-oracle("plan_scenarios", f"""
-SELECT scenario_id, growth_pct, baseline_revenue, target_revenue, revenue_gap, current_ad_spend, recommended_spend,
- incremental_spend, target_ad_sales, projected_acos_pct, projected_roas, projected_tacos_pct,
+_scenario_amounts = ["growth_pct", "baseline_revenue", "target_revenue", "revenue_gap", "current_ad_spend", "recommended_spend",
+                     "incremental_spend", "target_ad_sales", "projected_acos_pct", "projected_roas", "projected_tacos_pct",
+                     *[f"{c}_{x}" for c, _ in _channels for x in ("budget", "incremental")]]
+_scenario_sheet = f"""SELECT scenario_id, {", ".join(_scenario_amounts[:11])},
  {", ".join(f'{r(f"spend_exact * {w}", 2)} AS {c}_budget, {r(f"incremental_exact * {w}", 2)} AS {c}_incremental' for c, w in _channels)}
-FROM plan_all""")
+FROM plan_all"""
+oracle("plan_scenarios", _scenario_sheet)
 oracle("plan_campaign_recs", "SELECT * FROM recs WHERE scenario_id = '+10%'")
 oracle("plan_campaigns", "SELECT * FROM camp")
 oracle("plan_asins", "SELECT * FROM merged")
@@ -413,6 +408,26 @@ _month_names = {
     "sd_budget": "SD Budget ($)"}
 oracle("plan_monthly", "SELECT " + ", ".join(f'{k} AS "{v}"' for k, v in _month_names.items()) + " FROM month_all")
 
+
+
+def written(name: str, source: str, amounts: list[str]) -> str:
+    cents = " + ".join(f'coalesce(CAST(round_even("{c}" * 100, 0) AS DECIMAL(38,0)), 0)' for c in amounts)
+    return f"""SELECT '{name}' AS "table", count(*) AS rows, CAST(sum({cents}) AS DOUBLE) AS cents FROM ({source})"""
+
+
+_all_sums, _idle = [*FULL, "sales_ntb"], f""", {s("spend", "coalesce(ad_orders, 0) = 0")} AS idle_spend"""
+_ratios4 = ["acos_pct", "roas", "cpc", "cvr_pct"]
+oracle("write_media_plan", union([
+    written("executive_summary", union([f"SELECT {x} AS value FROM kpi CROSS JOIN vkpi" for _, x in _summary]), ["value"]),
+    written("scenarios", _scenario_sheet, _scenario_amounts),
+    written("campaign_recommendations", "SELECT * FROM recs WHERE scenario_id = '+10%'", ["current_spend", "suggested_increase", "new_budget", "roas", "acos_pct"]),
+    written("campaign_performance", f"SELECT *, {RATIOS} FROM ({grouped('campaign_name', _all_sums, more=_idle)})", [*_all_sums, "idle_spend", *_ratios4]),
+    written("asin_analysis", f"""SELECT a.*, v.* EXCLUDE (asin), {ratio("a.spend", "v.ordered_revenue", 2, True)} AS tacos_pct
+ FROM (SELECT *, {RATIOS}, {NTB} FROM ({grouped('asin', _all_sums, more=_idle)})) a FULL OUTER JOIN asin_ven v ON a.asin = v.asin""",
+            [*_all_sums, "idle_spend", *_ratios4, "ntb_pct", *VENDOR, "avg_price", "tacos_pct"]),
+    written("asin_health", "SELECT * FROM health", [c for c in _health_names if c not in ("asin", "tier")]),
+    written("monthly_plan", "SELECT * FROM month_all", [c for c in _month_names if c not in ("scenario_id", "month", "month_name", "events", "is_event_month")])]))
+
 # --- projections and cleaning -------------------------------------------------------------------------------------
 
 oracle("normalise_columns", """
@@ -521,6 +536,11 @@ def hits(source: str, by: str) -> str:
 
 
 oracle("threshold_hits", hits("kpi_asin", "asin"))
+_own = {("ACOS", ">"): "CASE brand WHEN 'Brand#11' THEN 10.0 WHEN 'Brand#23' THEN NULL ELSE 35.0 END"}
+oracle("limit_hits", union([
+    f"SELECT brand, '{m}' AS metric, '{sev}' AS severity, {c} AS value, CAST({_own.get((m, op), lim)} AS DOUBLE) AS \"limit\" "
+    f"FROM kpi_brand WHERE {c} <> 0 AND {c} {op} {_own.get((m, op), lim)}"
+    for m, c, op, lim, sev in [*_limits, ("CPC", "overall_cpc", "<", "CASE brand WHEN 'Brand#11' THEN 1000.0 END", "note")]]))
 
 # --- aggregations --------------------------------------------------------------------------------------------------------------
 
@@ -571,6 +591,20 @@ SELECT bin, count(*) AS products, CAST((bin - 1) * 5 AS DOUBLE) AS bin_start
 FROM (SELECT CAST(least(floor(score / 5) + 1, 20) AS BIGINT) AS bin FROM scored) GROUP BY bin""")
 
 
+def histogram(source: str, value: str, bins: int, by: str = "") -> str:
+    head, using = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
+    tail = f" GROUP BY {by}" if by else ""
+    return f"""SELECT {head}floor({value} / width) * width AS bin_start, width, count(*) AS rows FROM {source} JOIN (
+ SELECT {head}min(w) AS width FROM (SELECT {head}min({value}) AS lo, max({value}) AS hi FROM {source}{tail}),
+  (SELECT CAST(m || 'e' || e AS DOUBLE) AS w FROM (VALUES (1), (2), (5)) AS a(m), range(-6, 16) AS b(e))
+ WHERE floor(hi / w) - floor(lo / w) + 1 <= {bins} AND w >= power(10, floor(log10(CASE WHEN hi > lo THEN (hi - lo) / {bins} ELSE greatest(abs(hi) / 10, 1) END)))
+ {tail}) {using} GROUP BY ALL"""
+
+
+oracle("spend_histogram", histogram("camp", "spend", 20))
+oracle("spend_histogram_by_brand", histogram("camp_brand", "spend", 12, "brand"))
+
+
 def concentration(source: str, by: str = "") -> str:
     head = f"{by}, " if by else ""
     over = f"PARTITION BY {by}" if by else ""
@@ -853,7 +887,7 @@ oracle("health_alerts", union([
 
 # --- streams --------------------------------------------------------------------------------------------------------------------------------------------
 
-PARTS["live_events"] = f"""SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS dim,
+PARTS["live_events"] = f"""SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS dim,
  CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS impressions, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS clicks,
  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS ad_orders, 0 AS ad_orders_ntb, 0 AS sales_ntb, 0 AS ad_sales_longterm,
  {dec("CASE WHEN event_type = 'click' THEN value / 10 ELSE 0 END")} AS spend,
@@ -861,6 +895,14 @@ PARTS["live_events"] = f"""SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS dim
 oracle("stream_trend", f"""
 SELECT *, {TREND_RATIOS} FROM (SELECT CAST(date_trunc('week', ts) AS DATE) AS period_start, {sums(CORE)}
  FROM live_events GROUP BY ALL)""")
+oracle("stream_trend_months", f"""
+SELECT *, {TREND_RATIOS} FROM (SELECT CAST(date_trunc('month', happened) AS DATE) AS period_start, {sums(CORE)}
+ FROM (SELECT *, ts + CAST(event_id % 4 AS INTEGER) * INTERVAL 1 MONTH AS happened FROM live_events) GROUP BY ALL)
+WHERE period_start < (SELECT date_trunc('month', max(ts + CAST(event_id % 4 AS INTEGER) * INTERVAL 1 MONTH)) FROM live_events)""")
+oracle("replace_month", f"""
+SELECT CAST(date_trunc('month', report_date) AS DATE) AS month,
+ {s("CASE WHEN report_date BETWEEN DATE '1996-02-01' AND DATE '1996-03-31' THEN 2 ELSE 1 END * spend")} AS spend, {s("ad_sales")} AS ad_sales
+FROM ads GROUP BY 1""")
 oracle("stream_kpis", kpi("dim").replace("FROM ads", "FROM live_events"))
 
 # The outer joins are about products of one report only; elsewhere the reports hold every line.

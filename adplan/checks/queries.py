@@ -129,9 +129,13 @@ def _plan_tables(spark, d):
 
 @query
 def write_media_plan(spark, d):
-    paths = tables.write_media_plan(_plan_tables(spark, d), stage.new_folder(spark, "plan"))
-    counts = [spark.read.parquet(p).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"))
-              for n, p in paths.items()]
+    # Rows of each table as a reader finds it, and a sum over its amounts in whole cents.
+    folder = stage.new_folder(spark, "plan")
+    tables.write_media_plan(_plan_tables(spark, d), folder)
+    counts = []
+    for name, df in tables.read_media_plan(spark, folder).items():
+        cents = [F.coalesce(F.rint(F.col(f"`{c}`") * 100).cast("decimal(38,0)"), F.lit(0)) for c, k in df.dtypes if k == "double"]
+        counts.append(df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(sum(cents, F.lit(0))).cast("double").alias("cents")))
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -438,6 +442,15 @@ def threshold_hits(spark, d):
     return rules.threshold_hits(inp.kpis(spark, d, ("asin",)), by=["asin"]).drop("message")
 
 
+@query
+def limit_hits(spark, d):
+    # Two brands have limits of their own; one of them has the usual ACOS limit switched off.
+    own = spark.createDataFrame([("Brand#11", "ACOS", ">", 10.0, "critical"), ("Brand#11", "CPC", "<", 1000.0, "note"), ("Brand#23", "ACOS", ">", None, "critical")],
+                                "brand string, metric string, op string, limit double, severity string")
+    limits = rules.limit_table(spark).withColumn("brand", F.lit(None).cast("string")).unionByName(own)
+    return rules.limit_hits(inp.kpis(spark, d, ("brand",)), limits, ["brand"])
+
+
 # --- aggregations ----------------------------------------------------------------------------
 
 @query
@@ -546,6 +559,16 @@ def score_histogram(spark, d):
     return hl.score_histogram(inp.health(spark, d))
 
 
+@query
+def spend_histogram(spark, d):
+    return hl.value_histogram(inp.campaigns(spark, d), "spend", 20)
+
+
+@query
+def spend_histogram_by_brand(spark, d):
+    return hl.value_histogram(bd.breakdown(inp.ads(spark, d), "campaign_name", ("spend",), by=["brand"]), "spend", 12, ["brand"])
+
+
 @query
 def spend_concentration(spark, d):
     return budget.spend_concentration(inp.campaigns(spark, d))
@@ -850,8 +873,27 @@ def stream_trend(spark, d):
     return spark.read.parquet(path)
 
 
+@query
+def stream_trend_months(spark, d):
+    # The days of the events dealt over four months, of which the last stays open.
+    events = _event_stream(spark, d)
+    shifted = events.withColumn("ts", (F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("event_id") % 4).cast("int"))))
+    return live.run_months(shifted, stage.new_folder(spark, "stream"))
+
+
 @query
 def stream_kpis(spark, d):
     path = stage.new_folder(spark, "stream")
-    live.run_available(live.stream_kpis(_event_stream(spark, d), ["dim"]), path)
-    return spark.read.parquet(path)
+    live.keep_current(live.stream_kpis(_event_stream(spark, d), ["dim"]), path, ["dim"])
+    return live.current(spark, path)
+
+
+@query
+def replace_month(spark, d):
+    # The whole report is staged; then two months are delivered again with doubled spend.
+    path = stage.new_folder(spark, "stage")
+    rows = inp.ads(spark, d).select("report_date", "asin", "spend", "ad_sales")
+    stage.save_stage(rows, path, "report_date")
+    again = rows.filter(F.col("report_date").between("1996-02-01", "1996-03-31")).withColumn("spend", F.col("spend") * 2)
+    stage.save_stage(again, path, "report_date", "replace")
+    return bd.breakdown(stage.load_stage(spark, path), "month", ("spend", "ad_sales"))

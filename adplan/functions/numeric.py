@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(28,9)"
 NANOS = 1_000_000_000
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Short enough to be finite in any case: 40 digits, two of them in the exponent.
+NUMBER_PATTERN = r"^[+-]?(?=[\d.eE+-]{1,40}$)(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
+# Larger amounts do not fit a long; they count as none.
+LARGEST = 9.2e18
 WHITESPACE = " \t\r\n\x0b\x0c "
 
 
@@ -39,8 +42,8 @@ def positive_ratio(num: Column, den: Column, digits: int, scale: float | None =
 
 
 def finite(c: Column) -> Column:
-    """The value, or null for NaN and the infinities, which carry no amount."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    """The value, or null for NaN (which compares as the largest number), infinities and what a long can't hold."""
+    return F.when(F.abs(c) < LARGEST, c)
 
 
 def parts(df: DataFrame, name: str, where: str | None = None, wide: bool = False) -> list[str]:
@@ -48,13 +51,13 @@ def parts(df: DataFrame, name: str, where: str | None = None, wide: bool = False
 
     A double becomes its whole part and the billionths of the rest, these in millionths and a remainder:
     three sums of longs don't depend on the order of rows, hold totals up to 9.2e18, and stay in the fast
-    aggregation path, which sums of wide decimals do not. ``wide`` is for values that are
-    totals themselves and may not fit a long.
+    aggregation path, which sums of wide decimals do not. NaN, infinities and single values of 9.2e18 and more
+    count as no amount. ``wide`` is for values that are totals themselves and may not fit a long.
     """
     c = f"`{name}`"
     real = dict(df.dtypes)[name] in ("double", "float")
     if real:
-        c = f"if(isnan({c}) or abs({c}) = double('infinity'), null, {c})"
+        c = f"if(abs({c}) < {LARGEST}D, {c}, null)"
     if wide:
         out = [f"cast({c} as {MONEY})"]
     elif not real:
@@ -84,6 +87,39 @@ def totals(df: DataFrame, names: Sequence[str], wide: bool = False) -> list[Colu
     return [total(df, n, wide=wide).alias(n) for n in have(df, names)]
 
 
+def summable(df: DataFrame, names: Sequence[str], keep: Sequence[str] = (),
+             conditional: Mapping[str, tuple[str, str]] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with what is to be summed, computed once a row, and the totals (aggregates) over them.
+
+    The rows have the ``keep`` columns and the parts of the present measures, so that grouping sets repeat values
+    rather than expressions. ``conditional`` adds totals of a measure over the rows that meet a condition: name -> (measure,
+    condition as SQL).
+    """
+    present, flags = have(df, names), dict(conditional or {})
+    kinds = dict(df.dtypes)
+    measured = list(dict.fromkeys([*present, *[m for m, _ in flags.values()]]))
+    if not measured:
+        return df.select(*keep), {}
+    real = {n for n in measured if kinds[n] in ("double", "float")}
+    clean = df.select(*keep, *[(finite(F.col(n)) if n in real else F.col(n)).alias(f"__v_{n}") for n in measured],
+                      *[F.expr(c).alias(f"__f_{n}") for n, (_, c) in flags.items()])
+    fields, count = [], {}
+    for n in measured:
+        v = f"`__v_{n}`"
+        nanos = f"cast(rint(({v} - floor({v})) * {NANOS}D) as bigint)"
+        pieces = [f"floor({v})", f"{nanos} div 1000", f"{nanos} % 1000"] if n in real else [v]
+        count[n] = len(pieces)
+        fields += [F.expr(p).alias(f"{n}__{i}") for i, p in enumerate(pieces)]
+    rows = clean.select(*keep, *[f"__f_{n}" for n in flags], *fields)
+    totals_ = {n: joined([f"sum(`{n}__{i}`)" for i in range(count[n])]) for n in present}
+    totals_ |= {n: joined([f"sum(if(`__f_{n}`, `{m}__{i}`, null))" for i in range(count[m])]) for n, (m, _) in flags.items()}
+    return rows, totals_
+
+
+def aliased(sums: Mapping[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in sums.items()]
+
+
 def above_zero(c: Column) -> Column:
     """The value when it is above 0, else null (the ``x if x and x > 0`` idiom)."""
     return F.when(c > 0, c)
@@ -92,4 +128,4 @@ def above_zero(c: Column) -> Column:
 def text_to_number(c: Column) -> Column:
     """``$1,234.50`` -> 1234.5, ``12.5%`` -> 12.5; anything that is not a number -> null."""
     bare = F.btrim(F.translate(c, "$%,", ""), F.lit(WHITESPACE))
-    return finite(F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double")))
+    return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adplan.functions.numeric import have, joined, parts, positive_ratio, ratio, total, totals
+from adplan.functions.numeric import aliased, have, joined, positive_ratio, ratio, summable, total
 from adplan.functions.schema import (
     CAMPAIGN_DIMENSIONS,
     CORE_MEASURES,
@@ -28,8 +28,11 @@ def breakdown(df: DataFrame, dim: str, measures: Sequence[str] = CORE_MEASURES,
 
     ``attributes`` adds one value per key (the smallest non-null one, which does not
     depend on row order). Rows without a key are left out unless ``keep_null`` is set.
-    With no measure present the result is the list of keys.
+    With no measure present the result is the list of keys. Without the dimension in the report it is an
+    empty table of the same columns.
     """
+    if dim not in df.columns:
+        df = df.withColumn(dim, F.lit(None).cast("string")).filter(F.lit(False))
     rows = df if keep_null else df.filter(F.col(dim).isNotNull())
     keys = [*by, dim]
     texts = [a for a in have(df, attributes) if a not in keys]
@@ -37,15 +40,17 @@ def breakdown(df: DataFrame, dim: str, measures: Sequence[str] = CORE_MEASURES,
     if not texts and not names:
         return rows.select(*keys).distinct()
     if not texts:
-        return rows.groupBy(*keys).agg(*totals(df, names))
+        rows, sums = summable(rows, names, keys)
+        return rows.groupBy(*keys).agg(*aliased(sums))
     # Text minima keep Spark from aggregating by hash. Grouping by the texts first leaves
     # about one row per key for the aggregation that takes the minima.
-    pieces = {n: parts(df, n) for n in names}
-    first = rows.groupBy(*keys, *texts).agg(
-        *[F.expr(f"sum({p})").alias(f"{n}__{i}") for n, ps in pieces.items() for i, p in enumerate(ps)]) \
-        if names else rows.select(*keys, *texts).distinct()
+    if not names:
+        return rows.select(*keys, *texts).distinct().groupBy(*keys).agg(*[F.min(a).alias(a) for a in texts])
+    rows, _ = summable(rows, names, [*keys, *texts])
+    fields = [c for c in rows.columns if c not in (*keys, *texts)]
+    first = rows.groupBy(*keys, *texts).agg(*[F.sum(f).alias(f) for f in fields])
     return first.groupBy(*keys).agg(
-        *[joined([f"sum(`{n}__{i}`)" for i in range(len(ps))]).alias(n) for n, ps in pieces.items()],
+        *[joined([f"sum(`{f}`)" for f in fields if f.rsplit("__", 1)[0] == n]).alias(n) for n in names],
         *[F.min(a).alias(a) for a in texts])
 
 
@@ -63,7 +68,7 @@ def campaign_dimension(df: DataFrame) -> str:
 def campaign_breakdown(df: DataFrame, dim: str | None = None, by: Sequence[str] = (),
                        ordered: bool = True) -> DataFrame:
     """By campaign, or by the nearest dimension the report has; highest spend first."""
-    dim = dim or campaign_dimension(df)
+    dim = dim or next(iter(have(df, CAMPAIGN_DIMENSIONS)), CAMPAIGN_DIMENSIONS[0])
     out = add_ratios(breakdown(df, dim, CORE_MEASURES, by))
     return sorted_by(out, "spend", dim) if ordered else out
 

@@ -9,65 +9,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adplan.functions import labels
-from adplan.functions.numeric import ratio
+from adplan.functions.numeric import finite, ratio
 from adplan.operators.attach import attach
 from adplan.operators.blended import add_vendor_figures
+from adplan.sources.stage import settle
 
-# Rank error of the sketch, and the group size up to which no sketch is needed.
-ACCURACY = 10_000
-SMALL_GROUP = 100_000
+# Cells into which a pass cuts each bracket.
+CELLS = 4096
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles, one row per entity, without gathering a group.
+    """Linearly interpolated quantiles, one row per entity, without gathering or sorting a group.
 
-    A bounded sketch encloses each wanted rank between two values; exact counts below
-    the lower one then place the few distinct values in between. The sketch only decides
-    how much is looked at, never the result: a rank outside its enclosure is an error.
+    Each wanted rank has a bracket of values that holds it, at first all of its entity's. A pass cuts the
+    brackets of all entities into equal cells, counts the rows of each, and goes on with the smallest and largest
+    value of the cell that the rank falls into, until these are one. Counts are over distinct values, which are
+    written once; cells narrow as the values lie, so a million values take two or three passes. Nothing depends on
+    the size of a group. Nulls and what is no amount count as 0. The passes run when this is called.
     """
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    rows = df.select(*by, v.alias("v"))
-    # Twice the sketch's own rank error on either side keeps the rank inside.
-    margin = 2.0 / ACCURACY
-    edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    n = F.count(F.lit(1))
-    sketch = F.percentile_approx("v", edges, ACCURACY)
-
-    def edge(i: int, whole: Column) -> Column:
-        return F.when(n <= SMALL_GROUP, whole).otherwise(sketch[i])
-
-    brackets = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.lit(p).alias("p"),
-            edge(2 * i, F.min("v")).alias("lo"), edge(2 * i + 1, F.max("v")).alias("hi"))
-        for i, (name, p) in enumerate(probs.items())
-    ])
-    sized = (rows.groupBy(*by) if by else rows).agg(n.alias("n"), brackets.alias("brackets"))
-    # One row per distinct value, so that a value shared by many rows weighs no more than others.
-    seen = attach(rows.groupBy(*by, "v").agg(n.alias("c")), sized, by)
-
-    # Per entity and quantile: rows below the bracket, and a count per value inside it.
-    marked = seen.withColumn("b", F.explode("brackets")).filter(F.col("v") <= F.col("b.hi"))
-    below = F.col("v") < F.col("b.lo")
-    counted = (marked.withColumn("at", F.when(~below, F.col("v")))
-               .groupBy(*by, "b.name", "b.p", "n", "at").agg(F.sum("c").alias("c")))
-    upto = F.sum("c").over(Window.partitionBy(*by, "name").orderBy(F.col("at").asc_nulls_first())
-                           .rowsBetween(Window.unboundedPreceding, 0))
-    spot = F.col("p") * (F.col("n") - 1)
-    placed = counted.withColumn("upto", upto).withColumn("spot", spot)
-
-    def at_rank(rank: Column) -> Column:
-        holds = (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        return F.max(F.when(holds, F.col("at")))
-
-    picked = placed.groupBy(*by, "name").agg(
-        at_rank(F.floor("spot")).alias("a"), at_rank(F.ceil("spot")).alias("z"),
-        F.max(F.col("spot") - F.floor("spot")).alias("t"))
-    a, z, t = F.col("a"), F.col("z"), F.col("t")
-    found = F.coalesce(a + (z - a) * t, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    wide = picked.withColumn("q", found)
-    columns = [F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in probs]
-    return (wide.groupBy(*by) if by else wide).agg(*columns)
+    v = F.coalesce(finite(F.col(value).cast("double")), F.lit(0.0)) + F.lit(0.0)  # no negative zero
+    seen = settle(df.select(*by, v.alias("v")).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")), "values")
+    sized = (seen.groupBy(*by) if by else seen).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = []
+    for name, p in probs.items():
+        spot = F.lit(p) * (F.col("n") - 1)
+        ends += [F.struct(F.lit(name).alias("name"), F.lit(e).alias("end"), r(spot).cast("long").alias("rank"), (spot - F.floor(spot)).alias("t"))
+                 for e, r in (("a", F.floor), ("z", F.ceil))]
+    searches = settle(sized.filter("n > 0").select(*by, F.explode(F.array(*ends)).alias("s"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+                      .select(*by, "s.*", "lo", "hi", "below"), "searches")
+    while not (searching := searches.filter("lo < hi")).isEmpty():
+        # At most two brackets per quantile and entity; they don't overlap.
+        bracket = F.collect_set(F.struct("lo", "hi", "below")).alias("brackets")
+        brackets = (searching.groupBy(*by) if by else searching).agg(bracket)
+        inside = (attach(seen, brackets, by).select(*by, "v", "c", F.explode("brackets").alias("b"))
+                  .filter((F.col("v") >= F.col("b.lo")) & (F.col("v") <= F.col("b.hi"))).select(*by, "v", "c", "b.*"))
+        cell = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1)).alias("cell")
+        cells = inside.groupBy(*by, "lo", "hi", "below", cell).agg(F.sum("c").alias("n"), F.min("v").alias("vlo"), F.max("v").alias("vhi"))
+        order = Window.partitionBy(*by, "lo", "hi").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("below") + F.sum("n").over(order)  # over the cells of a bracket
+        placed = cells.withColumn("upto", upto).select(
+            *[F.col(k).alias(f"__{k}") for k in by], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "vlo", "vhi", "upto", (F.col("upto") - F.col("n")).alias("from"))
+        same = (F.col("lo") == F.col("__lo")) & (F.col("hi") == F.col("__hi")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto"))
+        for k in by:
+            same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        narrowed = searching.join(placed, same).select(*by, "name", "end", "rank", "t", F.col("vlo").alias("lo"), F.col("vhi").alias("hi"), F.col("from").alias("below"))
+        searches = settle(searches.filter("lo >= hi").unionByName(narrowed), "searches")
+
+    def found(name: str) -> Column:
+        a, z = (F.max(F.when((F.col("name") == name) & (F.col("end") == e), F.col("lo"))) for e in "az")
+        return (a + (z - a) * F.max(F.when(F.col("name") == name, F.col("t")))).alias(name)
+
+    return (searches.groupBy(*by) if by else searches).agg(*[found(n) for n in probs])
 
 
 def impression_quartiles(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -140,3 +132,23 @@ def score_histogram(health: DataFrame, bins: int = 20, by: Sequence[str] = ()) -
     width = 100.0 / bins
     return (health.groupBy(*by, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("products"))
             .withColumn("bin_start", (F.col("bin") - 1) * F.lit(width)))
+
+
+def value_histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per bin of a value whose range is open: at most ``bins`` bins of a round width per entity.
+
+    One aggregation finds the range; the width is the smallest of 1, 2 or 5 times a power of ten that covers it, on
+    edges that are multiples of the width, with ``bins`` bins at most. Result: bin_start, width, rows. Nulls and what
+    is no amount are left out; the last edge is open.
+    """
+    rows = df.select(*by, finite(F.col(value).cast("double")).alias("v")).filter("v is not null")
+    ends = (rows.groupBy(*by) if by else rows).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    least = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins))).otherwise(F.greatest(F.abs("hi") / 10, F.lit(1.0)))
+    power = F.floor(F.log10(least)).cast("int")
+    # Powers from a cast are exact, also those below 1; one decade more covers edges that don't fall on the ends.
+    steps = F.array(*[F.concat(F.lit(f"{m}e"), (power + e).cast("string")).cast("double") for e in (0, 1) for m in (1, 2, 5)])
+    enough = F.filter(steps, lambda w: F.floor(F.col("hi") / w) - F.floor(F.col("lo") / w) + 1 <= bins)
+    placed = attach(rows, ends.withColumn("width", enough[0]).select(*by, "width"), by)
+    number = F.floor(F.col("v") / F.col("width"))
+    return placed.groupBy(*by, "width", number.alias("__bin")).agg(F.count(F.lit(1)).alias("rows")).select(
+        *by, (F.col("__bin") * F.col("width")).alias("bin_start"), "width", "rows")

@@ -46,15 +46,14 @@ def normalise_columns(df: DataFrame, aliases: Mapping[str, str], blank_tokens: b
 
 def clean_numeric(df: DataFrame) -> DataFrame:
     """Known numeric columns to DOUBLE: currency and percent signs stripped, junk to null."""
-    out = []
-    for f in df.schema.fields:
-        c = df[f"`{f.name}`"]
-        if f.name in NUMERIC_COLUMNS and isinstance(f.dataType, StringType):
-            c = text_to_number(c).alias(f.name)
-        elif f.name in NUMERIC_COLUMNS and isinstance(f.dataType, NumericType):
-            c = c.cast("double").alias(f.name)
-        out.append(c)
-    return df.select(out)
+    texts = [f.name for f in df.schema.fields if f.name in NUMERIC_COLUMNS and isinstance(f.dataType, StringType)]
+    others = [F.col(f"`{f.name}`").cast("double").alias(f.name) if f.name in NUMERIC_COLUMNS and isinstance(f.dataType, NumericType)
+              else F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in texts]
+    if not texts:
+        return df.select(others)
+    # One generator for all cells: whatever reads a number reads it, rather than the expression it comes from.
+    cells = F.explode(F.array(F.struct(*[text_to_number(F.col(f"`{n}`")).alias(n) for n in texts]))).alias("__cells")
+    return df.select(*others, cells).select([F.col(f"__cells.`{n}`" if n in texts else f"`{n}`").alias(n) for n in df.columns])
 
 
 def infer_numeric(df: DataFrame, share: float = 0.5) -> DataFrame:

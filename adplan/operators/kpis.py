@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adplan.functions import labels
-from adplan.functions.numeric import finite, have, positive_ratio, ratio, rnd, total
+from adplan.functions.numeric import finite, have, positive_ratio, ratio, rnd, summable, total
 
 ADS_TOTALS = {
     "impressions": "total_impressions",
@@ -29,12 +29,17 @@ VENDOR_TOTALS = {
 }
 
 
-def _sum_all(df: DataFrame, names: dict[str, str], by: Sequence[str], *extra: Column,
-             wide: bool = False) -> DataFrame:
+def _sum_all(df: DataFrame, names: dict[str, str], by: Sequence[str], wide: bool = False,
+             more: Sequence[str] = (), derived: Mapping[str, Callable[[dict[str, Column]], Column]] | None = None) -> DataFrame:
     present = have(df, names)
     absent = [v for k, v in names.items() if k not in present]
-    aggs = [total(df, n, wide=wide).alias(names[n]) for n in present] or [F.count(F.lit(1)).alias("__rows")]
-    summed = (df.groupBy(*by) if by else df).agg(*aggs, *extra)
+    if wide or not (present or more):
+        aggs = [total(df, n, wide=wide).alias(names[n]) for n in present] or [F.count(F.lit(1)).alias("__rows")]
+        summed = (df.groupBy(*by) if by else df).agg(*aggs)
+    else:
+        rows, sums = summable(df, [*present, *more], by)
+        extra = [f(sums).alias(n) for n, f in (derived or {}).items()]
+        summed = (rows.groupBy(*by) if by else rows).agg(*[sums[n].alias(names[n]) for n in present], *extra)
     return summed.withColumns({v: F.lit(0.0) for v in absent}) if absent else summed
 
 
@@ -68,9 +73,13 @@ def vendor_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     revenue per unit.
     """
     direct = "avg_selling_price" in df.columns
-    mean = F.try_divide(total(df, "avg_selling_price"), F.count(finite(F.col("avg_selling_price").cast("double")))) \
-        if direct else None
-    s = _sum_all(df, VENDOR_TOTALS, by, *([mean.alias("__asp")] if direct else []))
+    if direct:
+        price = F.col("avg_selling_price").cast("double")
+        priced = df.withColumns({"avg_selling_price": price, "__priced": F.when(finite(price).isNotNull(), 1).otherwise(0).cast("long")})
+        s = _sum_all(priced, VENDOR_TOTALS, by, more=["avg_selling_price", "__priced"],
+                     derived={"__asp": lambda sums: F.try_divide(sums["avg_selling_price"], sums["__priced"])})
+    else:
+        s = _sum_all(df, VENDOR_TOTALS, by)
     revenue, units = F.col("total_ordered_revenue"), F.col("total_ordered_units")
     asp = rnd(F.col("__asp"), 2) if direct else F.when(
         (units > 0) & (revenue > 0), ratio(revenue, units, 2))
@@ -81,9 +90,8 @@ def wasted_spend_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spend on rows without an order, next to all spend."""
     if not {"ad_orders", "spend"} <= set(df.columns):
         raise ValueError("wasted_spend_summary needs ad_orders and spend")
-    idle = "coalesce(ad_orders, 0) = 0"
-    s = (df.groupBy(*by) if by else df).agg(
-        total(df, "spend", idle).alias("wasted"), total(df, "spend").alias("spent"))
+    rows, sums = summable(df, ["spend"], by, {"wasted": ("spend", "coalesce(ad_orders, 0) = 0")})
+    s = (rows.groupBy(*by) if by else rows).agg(sums["wasted"].alias("wasted"), sums["spend"].alias("spent"))
     return s.select(
         *by,
         rnd(F.col("wasted"), 2).alias("wasted_spend"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adplan.functions.numeric import have, total, totals
+from adplan.functions.numeric import aliased, have, summable
 from adplan.functions.schema import FULL_MEASURES
 
 ACCOUNT = "account"
@@ -28,11 +28,9 @@ def summarise(df: DataFrame, dims: Mapping[str, str], by: Sequence[str] = (),
     keys = [F.col(c) for c in by]
     whole = account or any(c in by for c in dims.values())
     sets = [[*keys, c] for c in cols] + ([keys] if whole else [])
-    idle = []
-    if {"spend", "ad_orders"} <= set(df.columns):
-        idle = [total(df, "spend", "coalesce(ad_orders, 0) = 0").alias(IDLE)]
-    grouped = df.groupingSets(sets, *keys, *cols).agg(
-        F.grouping_id().alias("__gid"), *totals(df, measures), *idle)
+    idle = {IDLE: ("spend", "coalesce(ad_orders, 0) = 0")} if {"spend", "ad_orders"} <= set(df.columns) else {}
+    rows, sums = summable(df, measures, [*by, *folded], idle)
+    grouped = rows.groupingSets(sets, *keys, *cols).agg(F.grouping_id().alias("__gid"), *aliased(sums))
     # Bit i from the right is 1 where column i from the right was folded away.
     every = 2 ** len(cols) - 1
     bits = {c: every ^ (1 << (len(cols) - 1 - i)) for i, c in enumerate(folded)}
@@ -42,7 +40,7 @@ def summarise(df: DataFrame, dims: Mapping[str, str], by: Sequence[str] = (),
     if account:
         labels.setdefault(every, []).append(F.struct(F.lit(ACCOUNT).alias("dimension"), F.lit(None).cast("string").alias("key")))
     named = F.explode(F.coalesce(*[F.when(F.col("__gid") == F.lit(b), F.array(*rows)) for b, rows in labels.items()]))
-    names = [*have(df, measures), *([IDLE] if idle else [])]
+    names = [*have(df, measures), *idle]
     out = grouped.select("*", named.alias("__named")).select("__named.dimension", *by, "__named.key", *names)
     return out.filter(F.col("key").isNotNull() | (F.col("dimension") == ACCOUNT))
 

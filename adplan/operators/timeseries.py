@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adplan.functions.dates import Reading, date_readings, day_first, period_start, with_date, with_range_start
-from adplan.functions.numeric import have, ratio, rnd, total, totals
+from adplan.functions.numeric import aliased, have, ratio, rnd, summable, totals
 from adplan.functions.schema import CORE_MEASURES, DATE_COLUMNS
 from adplan.operators.ratios import add_ctr, add_ratios
 
@@ -83,8 +83,8 @@ def trend(df: DataFrame, freq: str = "W", by: Sequence[str] = (), date_col: str
           ordered: bool = True) -> DataFrame:
     """Measures per week or month with the ratios over them."""
     dated = resolve_date(df, date_col, "__date")
-    summed = (dated.withColumn("period_start", period_start(F.col("__date"), freq))
-              .groupBy(*by, "period_start").agg(*totals(df, CORE_MEASURES)))
+    rows, sums = summable(dated.withColumn("period_start", period_start(F.col("__date"), freq)), CORE_MEASURES, [*by, "period_start"])
+    summed = rows.groupBy(*by, "period_start").agg(*aliased(sums)) if sums else rows.distinct()
     out = add_ctr(add_ratios(summed)).drop("cvr_pct")
     return out.orderBy(*by, "period_start") if ordered else out
 
@@ -119,9 +119,9 @@ def ad_product_trend(df: DataFrame, freq: str = "M", by: Sequence[str] = (),
                      date_col: str | None = None) -> DataFrame:
     """Spend per period and ad product."""
     dated = resolve_date(df, date_col, "__date").filter(F.col("campaign_type").isNotNull())
-    return (dated.withColumn("period_start", period_start(F.col("__date"), freq))
-            .groupBy(*by, "period_start", "campaign_type").agg(total(df, "spend").alias("spend"))
-            .orderBy(*by, "period_start", "campaign_type"))
+    keys = [*by, "period_start", "campaign_type"]
+    rows, sums = summable(dated.withColumn("period_start", period_start(F.col("__date"), freq)), ["spend"], keys)
+    return rows.groupBy(*keys).agg(sums["spend"].alias("spend")).orderBy(*keys)
 
 
 def peak_period(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:

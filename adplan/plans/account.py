@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adplan.functions.numeric import rnd
-from adplan.operators.breakdowns import asin_vendor_breakdown, campaign_dimension
+from adplan.functions.numeric import have, rnd
+from adplan.functions.schema import CAMPAIGN_DIMENSIONS, FULL_MEASURES
+from adplan.operators.breakdowns import asin_vendor_breakdown, breakdown
 from adplan.operators.health import asin_health
 from adplan.operators.kpis import ads_kpis, vendor_kpis
 from adplan.operators.ratios import add_ntb_pct, add_ratios
@@ -24,17 +25,24 @@ def account_tables(ads: DataFrame, vendor: DataFrame | None = None, scenarios: S
     """KPIs, breakdowns, health and scenarios by name.
 
     The advertising report is read once: its groupings are summed together and settled,
-    and everything else works on those sums. The vendor report is read once per result.
+    and everything else works on those sums. The vendor report is read once per result. What needs a column
+    that the report lacks is an empty table, or left out (waste).
     """
-    campaign = campaign_dimension(ads)
-    sums = settle(summarise(ads, {"campaign": campaign, "asin": "asin"}, by), "sums", "dimension")
+    present = have(ads, CAMPAIGN_DIMENSIONS)
+    dims = ({"campaign": present[0]} if present else {}) | ({"asin": "asin"} if "asin" in ads.columns else {})
+    sums = settle(summarise(ads, dims, by), "sums", "dimension")
     account = slice_of(sums, ACCOUNT)
+
+    def slice_or_none(dimension: str, column: str) -> DataFrame:
+        return slice_of(sums, dimension, column) if dimension in dims else breakdown(ads, column, FULL_MEASURES, by)
+
     out = {
         "kpis": ads_kpis(account, by, wide=True),
-        "waste": account.select(*by, rnd(F.col(IDLE), 2).alias("wasted_spend")),
-        "campaigns": add_ratios(slice_of(sums, "campaign", campaign)),
-        "products": add_ntb_pct(add_ratios(slice_of(sums, "asin", "asin"))),
+        "campaigns": add_ratios(slice_or_none("campaign", dims.get("campaign", CAMPAIGN_DIMENSIONS[0]))),
+        "products": add_ntb_pct(add_ratios(slice_or_none("asin", "asin"))),
     }
+    if IDLE in sums.columns:
+        out["waste"] = account.select(*by, rnd(F.col(IDLE), 2).alias("wasted_spend"))
     if vendor is not None:
         out["vendor_kpis"] = settle(vendor_kpis(vendor, by), "vendor")
         out["vendor_products"] = settle(asin_vendor_breakdown(vendor, by, ordered=False), "vendor")
@@ -45,8 +53,9 @@ def account_tables(ads: DataFrame, vendor: DataFrame | None = None, scenarios: S
 
 
 def facts_of(tables: Mapping[str, DataFrame], scenario_id: str | None, by: Sequence[str] = (),
-             campaign: str = "campaign_name") -> DataFrame:
+             campaign: str | None = None) -> DataFrame:
     """The facts that the rules look at, from the tables of an account."""
+    campaign = campaign or have(tables["campaigns"], CAMPAIGN_DIMENSIONS)[0]
     return rules.account_facts(
         tables["kpis"], tables.get("vendor_kpis"), tables["campaigns"], tables["health"], tables["plan"],
-        scenario_id, tables["waste"], by, campaign)
+        scenario_id, tables.get("waste"), by, campaign)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adplan.functions import labels
@@ -124,6 +124,42 @@ def threshold_hits(kpis: DataFrame, limits=ANOMALY_LIMITS, by: Sequence[str] = (
     return emit(kpis, by, threshold_checks(limits))
 
 
+METRICS = {"ACOS": "overall_acos", "ROAS": "overall_roas", "CTR": "overall_ctr", "CVR": "conversion_rate", "CPC": "overall_cpc"}
+
+
+def limit_table(spark: SparkSession, limits=ANOMALY_LIMITS) -> DataFrame:
+    """The given limits as a table: metric, op (> or <), limit, severity."""
+    return spark.createDataFrame([(m, op, float(x), sev) for m, _, op, x, sev in limits], "metric string, op string, limit double, severity string")
+
+
+def limit_hits(kpis: DataFrame, limits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics on the wrong side of limits that come from a table: metric, op, limit, severity and, where the
+    table has them, the entity columns.
+
+    A limit of an entity replaces the default (null in the entity columns) of its metric, op and severity. Metrics
+    are rows here and meet their limits by name; a limit is per metric or entity, so no metric row meets more than
+    its own. A metric of 0 or null hits nothing; neither does a null limit, which switches a default off.
+    """
+    own = [k for k in by if k in limits.columns]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nullif(F.col(c), F.lit(0.0)).alias("value")) for m, c in METRICS.items() if c in kpis.columns]))
+    values = kpis.select(*by, cells.alias("m")).select(*by, "m.*").filter("value is not null")
+    rule = ["metric", "op", "severity"]
+    default = limits.filter(" and ".join([f"`{k}` is null" for k in own]) or "true").select(*rule, F.col("limit").alias("usual"))
+    pairs = values.join(default, "metric")
+    if own:
+        exact = limits.filter(" and ".join(f"`{k}` is not null" for k in own)).select(*own, *rule, F.col("limit").alias("special"), F.lit(True).alias("found"))
+        # A full join, as an entity may have a limit of a kind that has no default.
+        wanted = exact.join(values, [*own, "metric"]).select(*by, *rule, "value", "special", "found")
+        same = [*by, *rule]
+        pairs = pairs.alias("p").join(wanted.alias("w"), [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in same], "full").select(
+            *[F.coalesce(f"p.{k}", f"w.{k}").alias(k) for k in same], F.coalesce("p.value", "w.value").alias("value"),
+            F.when(F.col("w.found"), F.col("w.special")).otherwise(F.col("p.usual")).alias("limit"))
+    else:
+        pairs = pairs.withColumnRenamed("usual", "limit")
+    wrong = ((F.col("op") == ">") & (F.col("value") > F.col("limit"))) | ((F.col("op") == "<") & (F.col("value") < F.col("limit")))
+    return pairs.filter(wrong).select(*by, "metric", "severity", "value", "limit")
+
+
 def anomalies(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Limit violations of the key figures and counts of campaigns that are far off."""
     def counted(metric: str, name: str, limit: float, text: str):

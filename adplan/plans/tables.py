@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adplan.functions.numeric import have
 from adplan.operators.attach import attach
 from adplan.plans.scenarios import channel_allocation
 from adplan.plans.settings import DEFAULT_SPLIT
+from adplan.sources.versions import manifest, publish, read_version
 
 # Labels of the summary, with their KPI column and divisor.
 SUMMARY = [
@@ -112,9 +113,19 @@ def media_plan_tables(kpis: DataFrame, vendor: DataFrame | None, plan: DataFrame
 
 def write_media_plan(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet",
                      mode: str = "error") -> dict[str, str]:
-    """Write each table to its own directory; returns the paths."""
-    paths = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
-    for name, df in tables.items():
-        writer = df.write.mode(mode).format(fmt)
-        (writer.option("header", True) if fmt == "csv" else writer).save(paths[name])
-    return paths
+    """Write the tables as one plan; returns their paths.
+
+    Readers (`read_media_plan`) see all tables of a plan or, while it is written or when a table fails, all of the one
+    before. Without ``mode`` overwrite a folder that holds a plan is an error.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if mode not in ("overwrite", "error"):
+        raise ValueError("mode is overwrite or error")
+    if mode == "error" and manifest(spark, folder) is not None:
+        raise ValueError(f"{folder} holds a plan")
+    return {n: t["path"] for n, t in publish(spark, folder, tables, fmt=fmt)["tables"].items()}
+
+
+def read_media_plan(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the plan that was written last and whole."""
+    return read_version(spark, folder)

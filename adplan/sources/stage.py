@@ -47,13 +47,20 @@ def settle(df: DataFrame, label: str = "settled", split: str | None = None) -> D
 def save_stage(df: DataFrame, path: str, date_col: str | None = None, mode: str = "error") -> None:
     """Canonical report as snappy Parquet, in one folder per month when it has a date.
 
+    Mode ``replace`` is for months that are delivered again: the months that df holds replace those of the
+    stage, all others stay as they are.
+
     The rebalance hint gathers the rows of a month and lets adaptive execution split a
     month that holds most of the report, so files come out at the advisory size.
     """
     if date_col is not None:
         df = df.withColumn("month", F.date_trunc("month", F.col(date_col)).cast("date"))
         df = df.hint("rebalance", "month")
-    writer = df.write.mode(mode).option("compression", "snappy")
+    writer = df.write.mode("overwrite" if mode == "replace" else mode).option("compression", "snappy")
+    if mode == "replace":
+        if date_col is None:
+            raise ValueError("only a staged report with months can have months replaced")
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy("month") if date_col is not None else writer).parquet(path)
 
 

@@ -75,10 +75,7 @@ def test_health_edges(spark):
     assert got == {"a": (18 + 30 + 20 + 15 + 10, "Scale"), "b": (2.0, "Pause"), "c": (25 + 22 + 0 + 5 + 6, "Optimise")}
 
 
-@pytest.mark.parametrize("small", [100_000, 10])
-def test_quantiles_are_exact(spark, monkeypatch, small):
-    # With a limit of ten rows every group goes through the sketch.
-    monkeypatch.setattr(health, "SMALL_GROUP", small)
+def test_quantiles_are_exact(spark):
     n = 60_001
     df = spark.range(n).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % n % 5000 * 1.5).alias("v"))
     got = {r.g: (r.q1, r.q3) for r in health.exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, ["g"]).collect()}
@@ -88,6 +85,24 @@ def test_quantiles_are_exact(spark, monkeypatch, small):
     assert (whole.q1, whole.q3) == tuple(one(df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))).q)
 
 
+@pytest.mark.parametrize("rows, groups, value", [
+    (2_000_000, 2, "CASE WHEN id % 7 = 0 THEN 1e15 * rand(3) WHEN id % 5 = 0 THEN 3.0 ELSE 1000 * rand(4) - 100 END"),
+    (400_000, 100_000, "floor(50 * rand(4))")])
+def test_quantiles_of_large_and_of_many_groups(spark, rows, groups, value):
+    df = stage.settle(spark.range(rows).selectExpr(f"nullif(id % {groups}, 1) AS g", f"{value} AS v"))
+    got = health.exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, ["g"])
+    want = df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    both = got.join(want.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")))
+    off = both.filter((F.abs(F.col("q1") - F.col("q")[0]) > 1e-9 * F.abs("q1")) | (F.abs(F.col("q3") - F.col("q")[1]) > 1e-9 * F.abs("q3")))
+    assert (both.count(), off.count()) == (groups, 0)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "g int, v double")
+    assert health.exact_quantiles(none, "v", {"q1": 0.25}, ["g"]).count() == 0
+    assert one(health.exact_quantiles(none, "v", {"q1": 0.25})).q1 is None
+
+
 def test_quantiles_with_one_value_holding_most_rows(spark):
     df = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7.0).otherwise(F.col("id") * 1.0).alias("v"))
     got = one(health.exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}))
