@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 Q, EDITS = 6, 0.12
 #: Bytes of passages that one scan looks for; more passages take more scans.
 SCAN_BYTES = 8 << 20
-#: Bytes of text that are searched at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are searched at a time, and hits of grams that are listed at a time.
+CHUNK_BYTES, HITS = 1 << 20, 1 << 20
+#: Passages of fewer bytes say too little to mark a document.
+LEAST = 20
+#: Stands between texts; no byte of UTF-8.
+GAP = 0xFF
 
 _FOLD = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = 22
@@ -42,7 +46,7 @@ class Passages:
     """Grams of a set of passages."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, t) for i, t in ((i, fold(t)) for i, t in items) if len(t) >= Q]
+        kept = [(i, t) for i, t in ((i, fold(t)) for i, t in items) if len(t) >= LEAST]
         self.ids, self.texts = [i for i, _ in kept], [np.frombuffer(t, np.uint8) for _, t in kept]
         self.edits = np.array([budget(len(t)) for t in self.texts], np.int64)
         self.bound = np.array([len(t) // Q for t in self.texts], np.int64) - self.edits
@@ -65,33 +69,41 @@ class Passages:
 
     def regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, band and shared grams of all bands of data that meet the bound. Bands are twice the
-        edit budget wide and start at every multiple of it, so one holds all grams of a match."""
+        edit budget wide and start at every multiple of it, so one holds all grams of a match.
+
+        Hits are listed some at a time; what is kept of them is one key for each gram of a passage that a band
+        shares, which grows with the text alone, however often a gram repeats.
+        """
         code = _codes(data)
         at = np.flatnonzero(self.seen[self._slot(code)])
         found = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
         good = self.codes[found] == code[at]
         at, found = at[good], found[good]
-        n = self.count[found]
-        hit = np.repeat(self.first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, place = self.item[hit], self.place[hit]
-        band = (np.repeat(at, n) - place) // np.maximum(1, self.edits[item])
-        item, place, band = np.r_[item, item], np.r_[place, place], np.r_[band, band - 1]
-        if not len(item):
-            return item, band, place
-        order = np.lexsort((place, band, item))
-        item, place, band = item[order], place[order], band[order]
-        group = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
-        fresh = group | np.r_[True, place[1:] != place[:-1]]
-        first = np.flatnonzero(group)
-        shared = np.add.reduceat(fresh.astype(np.int64), first)
-        keep = shared >= self.bound[item[first]]
-        return item[first][keep], band[first][keep], shared[keep]
+        step = np.maximum(1, self.edits)
+        before = int(max(len(t) // k for t, k in zip(self.texts, step, strict=True))) + 2  # bands that start ahead of the data
+        bands, places = len(data) // int(step.min()) + 2 * before, max(len(t) for t in self.texts) // Q + 1
+        upto = np.cumsum(self.count[found])
+        keys, begin = [], 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+            n = self.count[found[begin:end]]
+            hit = np.repeat(self.first[found[begin:end]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, place = self.item[hit], self.place[hit]
+            band = (np.repeat(at[begin:end], n) - place) // step[item]
+            key = (item * bands + band + before) * places + place // Q
+            keys.append(np.unique(np.r_[key, key - places]))
+            begin = end
+        key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.int64)
+        group, shared = np.unique(key // places, return_counts=True)
+        item = group // bands
+        keep = shared >= self.bound[item]
+        return item[keep], (group % bands - before)[keep], shared[keep]
 
     def align(self, data: np.ndarray, n: int, bands: np.ndarray) -> np.ndarray:
         """Least edits between passage n and any stretch of data on each band's diagonals."""
         k, text = int(self.edits[n]), self.texts[n]
         step, width = max(1, k), 2 * max(1, k) + 2 * k + 1
-        padded = np.r_[np.zeros(width, np.uint8), data, np.zeros(len(text) + 2 * width, np.uint8)]
+        padded = np.r_[np.full(width, GAP, np.uint8), data, np.full(len(text) + 2 * width, GAP, np.uint8)]
         start = bands * step - k + width  # diagonal of the first cell, in padded places
         start = np.clip(start, 0, len(padded) - len(text) - width)
         cost = np.zeros((len(bands), width), np.int32)
@@ -108,7 +120,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, shared_grams: one row for each pair whose document holds the passage
     with at most budget(length) edits (bytes of folded text), anywhere in the whole text.
 
-    Null and empty texts hold nothing. Passages shorter than Q bytes are never found. Of repeated
+    Null and empty texts hold nothing. Passages shorter than LEAST bytes are never found. No match spans two
+    documents: between texts stand more bytes than any passage may have edits. Texts longer than CHUNK_BYTES
+    are searched in stretches that overlap by more than a passage with its edits. Of repeated
     rows of a doc_id (or an item_id) the best match counts; null ids stay null. Extra columns are
     ignored; empty tables give no rows. The passages are the stated query set: they travel to
     all tasks in blocks of about SCAN_BYTES, one scan each.
@@ -124,20 +138,26 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = Passages(shared.value)
+            if not passages.ids:
+                return
+            most = max(len(t) for t in passages.texts) + 4 * int(passages.edits.max()) + Q
             for batch in batches:
-                texts = [fold(t) if t else b"" for t in batch.column("text").to_pylist()]
+                pieces = []
+                for row, text in enumerate(batch.column("text").to_pylist()):
+                    folded = fold(text) if text else b""
+                    pieces += [(row, folded[at:at + CHUNK_BYTES + most]) for at in range(0, max(1, len(folded) - most), CHUNK_BYTES)]
                 at = 0
-                while at < len(texts) and passages.ids:
+                while at < len(pieces):
                     begin, held = at, 0
-                    while at < len(texts) and (at == begin or held + len(texts[at]) <= CHUNK_BYTES):
-                        held += len(texts[at])
+                    while at < len(pieces) and (at == begin or held + len(pieces[at][1]) <= CHUNK_BYTES):
+                        held += len(pieces[at][1])
                         at += 1
-                    yield search(passages, batch.column("doc_id").slice(begin, at - begin), texts[begin:at])
+                    yield search(passages, batch.column("doc_id"), pieces[begin:at])
 
-        def search(passages: Passages, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-            gap = b"\0" * 64
-            data = np.frombuffer(gap.join(texts), np.uint8)
-            starts = np.cumsum([0] + [len(t) + len(gap) for t in texts])[:-1]
+        def search(passages: Passages, ids: pa.Array, pieces: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            gap = bytes([GAP]) * max(64, int(passages.edits.max()) + 1)
+            data = np.frombuffer(gap.join(t for _, t in pieces), np.uint8)
+            starts = np.cumsum([0] + [len(t) + len(gap) for _, t in pieces])[:-1]
             item, band, shared_grams = passages.regions(data)
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for n in np.unique(item):
@@ -148,7 +168,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         if e <= passages.edits[n]:
                             middle = band[k] * max(1, passages.edits[n]) + len(passages.texts[n]) // 2 + passages.edits[n]
                             doc = max(0, int(np.searchsorted(starts, middle, "right")) - 1)
-                            key = (doc, int(n))
+                            key = (pieces[doc][0], int(n))
                             best[key] = min(best.get(key, (1 << 30, 0)), (int(e), -int(shared_grams[k])))
             rows = sorted(best)
             return pa.RecordBatch.from_arrays(

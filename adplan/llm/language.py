@@ -146,7 +146,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, families: dict[str, str] |
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(vectors, f"doc_id {kind}, lang string, x binary").orderBy("doc_id", "lang").collect()
     labels = np.array([r.lang for r in rows], object)
-    x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(len(rows), WIDTH)
     groups: dict[str, list[str]] = {}
     for lang in sorted(set(labels)):
         groups.setdefault(families.get(lang, lang), []).append(lang)

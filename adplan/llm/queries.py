@@ -21,7 +21,8 @@ def op1_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    # Nothing is learned from a document without an id, so it is held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
     model = language.fit(docs.where(~held_out))
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 

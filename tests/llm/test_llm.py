@@ -203,12 +203,58 @@ def test_languages(spark):
     assert out[900].lang_pred == out[901].lang_pred == "und" and all(0 <= r.score <= 1 for r in out.values())
 
 
-def test_passages_with_edits_are_found(spark, docs):
+def least_edits(passage: bytes, text: bytes) -> int:
+    """Of a passage against any stretch of a text, by plain dynamic programming."""
+    row = np.zeros(len(text) + 1, int)
+    for i, byte in enumerate(passage, 1):
+        across = np.r_[i, np.minimum(row[:-1] + (np.frombuffer(text, np.uint8) != byte), row[1:] + 1)]
+        row = np.minimum.accumulate(across - np.arange(len(across))) + np.arange(len(across))
+    return int(row.min())
+
+
+def test_passages_equal_plain_alignment(spark, docs):
     changed = PASSAGE[:40] + "zz" + PASSAGE[43:]
-    more = docs.select("doc_id", "text").union(spark.createDataFrame([(50, prose(100) + changed + prose(100)), (None, PASSAGE)], "doc_id long, text string"))
-    bench = spark.createDataFrame([(7, PASSAGE), (8, prose(30)), (9, None), (10, "abc")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in contamination.find_passages(more, bench).collect()}
-    assert set(got) == {(7, 7), (50, 7), (None, 7)} | ({(9, 7)} if (9, 7) in got else set()) and got[7, 7] == 0 and 0 < got[50, 7] <= 5
+    long = prose(160)  # its budget of edits is larger than any fixed gap
+    half = len(long) // 2
+    own = [(50, prose(100) + changed + prose(100)), (None, PASSAGE), (60, prose(20) + long[:half]), (61, long[half:] + prose(20)), (62, ""), (63, long[:half]), (64, long[half:])]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(own, "doc_id long, text string")).coalesce(1)
+    items = [(7, PASSAGE), (8, prose(30)), (9, None), (10, "abc"), (11, long), (12, "x" * 300)]
+    got = {(r.doc_id, r.item_id): r.edits for r in contamination.find_passages(more, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, t in [(d[0], d[1]) for d in DOCS] + own:
+        for n, passage in items:
+            if passage and len(passage) >= contamination.LEAST:
+                folded = contamination.fold(passage)
+                edits = least_edits(folded, contamination.fold(t or ""))
+                if edits <= contamination.budget(len(folded)):
+                    want[i, n] = edits
+    assert got == want and (50, 7) in got and not any(i in (60, 61, 63, 64) for i, _ in got)
+    assert contamination.find_passages(more.where("1 = 0"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert contamination.find_passages(more, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_passages_in_very_long_texts(spark):
+    import tracemalloc
+
+    passages = contamination.Passages([(1, "a" * 300)])
+    tracemalloc.start()
+    item, band, shared = passages.regions(np.full(1 << 20, ord("a"), np.uint8))
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and len(band) > 20_000 and shared.max() == 50
+    tracemalloc.stop()
+    filler = "".join(random.choices("bcdefgh ", k=3 * contamination.CHUNK_BYTES // 2))
+    for at in (contamination.CHUNK_BYTES - 150, contamination.CHUNK_BYTES - 2, contamination.CHUNK_BYTES + 100, len(filler) - 1):
+        df = spark.createDataFrame([(1, filler[:at] + PASSAGE + filler[at:])], "doc_id long, text string")
+        got = contamination.find_passages(df, spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(1, 7, 0)]
+
+
+def test_languages_of_nothing(spark):
+    rows = [(1, "the and of", None), (2, None, "en"), (None, "123", "fr"), (3, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for known in (df, df.where("1 = 0")):
+        out = language.identify(df, language.fit(known)).collect()
+        assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)] * 4
+        assert language.identify(df.where("1 = 0"), language.fit(known)).count() == 0
 
 
 def test_licenses_are_found(spark):
