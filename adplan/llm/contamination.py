@@ -82,19 +82,33 @@ class Passages:
         step = np.maximum(1, self.edits)
         before = int(max(len(t) // k for t, k in zip(self.texts, step, strict=True))) + 2  # bands that start ahead of the data
         bands, places = len(data) // int(step.min()) + 2 * before, max(len(t) for t in self.texts) // Q + 1
-        upto = np.cumsum(self.count[found])
-        keys, begin = [], 0
-        while begin < len(at):
-            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+        upto, cuts = np.cumsum(self.count[found]), [0]
+        while cuts[-1] < len(at):
+            done = upto[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, done + HITS, "right"))))
+
+        def hits(begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = self.count[found[begin:end]]
-            hit = np.repeat(self.first[found[begin:end]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.repeat(self.first[found[begin:end]] - np.cumsum(n) + n, n) + np.arange(n.sum())
             item, place = self.item[hit], self.place[hit]
-            band = (np.repeat(at[begin:end], n) - place) // step[item]
-            key = (item * bands + band + before) * places + place // Q
-            keys.append(np.unique(np.r_[key, key - places]))
-            begin = end
+            # Doubles divide these small whole numbers exactly enough for the floor, and faster.
+            band = np.floor((np.repeat(at[begin:end], n) - place) / step[item]).astype(np.int64)
+            return item * bands + band + before, item, place
+
+        # Hits a band, by hash: most bands fall short of the bound with all of their hits, and need no second look.
+        full, last = np.zeros(1 << _BITS, np.int64), None
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            last = hits(begin, end)
+            for g in (last[0], last[0] - 1):
+                full += np.bincount(self._slot(g.astype(np.uint64)).astype(np.int64), minlength=len(full))
+        keys = []
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            g, item, place = last if len(cuts) == 2 else hits(begin, end)
+            for group in (g, g - 1):
+                keep = full[self._slot(group.astype(np.uint64)).astype(np.int64)] >= self.bound[item]
+                keys.append(np.unique(group[keep] * places + place[keep] // Q))
         key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.int64)
-        group, shared = np.unique(key // places, return_counts=True)
+        group, shared = np.unique(key // places, return_counts=True) if len(key) else (key, key)
         item = group // bands
         keep = shared >= self.bound[item]
         return item[keep], (group % bands - before)[keep], shared[keep]
