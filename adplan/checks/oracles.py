@@ -361,8 +361,8 @@ for _name in ("read_report", "parse_ads", "read_report_stream"):
 oracle("read_report_encodings", f"""
 SELECT match_type, 'Café Größe ' || brand AS portfolio_name, {sums(["spend", "clicks"])} FROM ads GROUP BY ALL""")
 oracle("route_reports", f"""
-SELECT 'ads' AS kind, match_type AS key, {s("spend")} AS amount, {s("clicks", "report_date >= DATE '1998-01-01'")} AS units, 4 AS moved FROM ads GROUP BY match_type
-UNION ALL SELECT 'vendor', 'all', {s("ordered_revenue")}, {s("ordered_units")}, 2 FROM ven""")
+SELECT 'ads' AS kind, match_type AS key, {s("spend")} AS amount, {s("clicks", "report_date >= DATE '1998-01-01'")} AS units, CAST(4 AS BIGINT) AS moved FROM ads GROUP BY match_type
+UNION ALL SELECT 'vendor', 'all', {s("ordered_revenue")}, {s("ordered_units")}, CAST(2 AS BIGINT) FROM ven""")
 oracle("parse_vendor", vkpi("report_date"))
 oracle("classify_reports", """
 SELECT file, vendor_hits, ads_hits, CASE WHEN vendor_hits > ads_hits THEN 'vendor' ELSE 'ads' END AS kind FROM (
@@ -499,9 +499,9 @@ oracle("filter_tiers", "SELECT asin, score, tier FROM scored WHERE tier IN ('Sca
 oracle("budget_gainers", "SELECT campaign, delta FROM optimised WHERE delta > 0")
 oracle("budget_losers", "SELECT campaign, delta FROM optimised WHERE delta < 0")
 oracle("campaign_outliers", f"""
-SELECT * FROM (SELECT category, campaign_name, spend, acos_pct, roas,
+SELECT * FROM (SELECT asin, campaign_name, spend, acos_pct, roas,
  coalesce(acos_pct > 80 AND spend > 100, false) AS high_acos, coalesce(roas, 0) = 0 AND spend > 50 AS zero_roas
- FROM (SELECT *, {RATIOS} FROM ({grouped('category, campaign_name', CORE)}))) WHERE high_acos OR zero_roas""")
+ FROM (SELECT *, {RATIOS} FROM ({grouped('asin, campaign_name', CORE)}))) WHERE high_acos OR zero_roas""")
 oracle("dated_rows", f"""
 SELECT CAST(l_shipdate AS DATE) AS date, {s(dec("l_quantity"))} AS clicks FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL""")
 

@@ -387,8 +387,9 @@ def budget_losers(spark, d):
 
 @query
 def campaign_outliers(spark, d):
-    per = ratios.add_ratios(bd.breakdown(inp.ads(spark, d), "campaign_name", by=["category"]))
-    return bd.campaign_outliers(per).select("category", "campaign_name", "spend", "acos_pct", "roas", "high_acos", "zero_roas")
+    # Campaigns within products: groups small enough that some are far off either way.
+    per = ratios.add_ratios(bd.breakdown(inp.ads(spark, d), "campaign_name", by=["asin"]))
+    return bd.campaign_outliers(per).select("asin", "campaign_name", "spend", "acos_pct", "roas", "high_acos", "zero_roas")
 
 
 @query
