@@ -15,7 +15,7 @@ from adplan.operators.blended import add_vendor_figures
 from adplan.sources.stage import settle
 
 # Cells into which a pass cuts each bracket.
-CELLS = 4096
+CELLS = 65_536
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
