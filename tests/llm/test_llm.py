@@ -313,25 +313,61 @@ def test_pieces_do_not_depend_on_the_stretch(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, repeats.pieces_of(data, ends), strict=True))
 
 
-def test_bundled_buckets_meet_like_single_ones():
+def test_calls_find_each_likely_pair_once_and_link_components():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[:360], rng.integers(0, 2**63, 10 + 9 * (i % 12), dtype=np.uint64)]) for i in range(40)]
     rows = []
-    for i in range(60):
-        s = np.unique(np.r_[base[:360], rng.integers(0, 2**63, 10 + 5 * (i % 12), dtype=np.uint64)])
-        rows.append((i % 5, i, i % 7, nearcopies.registers(s).tobytes(), len(s), i % 2 == 0))
-    block = pd.DataFrame(rows, columns=["key", "rep", "component", "regs", "n", "right"])
-    wanted = {}
-    for a in block[~block.right].itertuples():
-        for b in block[block.right].itertuples():
-            if a.key == b.key and a.component != b.component and min(a.n, b.n) >= 0.8 * max(a.n, b.n):
-                est = nearcopies.estimate(*(np.frombuffer(x.regs, np.uint16)[None] for x in (a, b)), np.array([float(a.n)]), np.array([float(b.n)]))[0]
-                if est >= 0.8 - nearcopies.SLACK:
-                    wanted[min(a.rep, b.rep), max(a.rep, b.rep), b.rep, a.component] = est
-    got = {(r.a, r.b, r.row, r.group): r.est for r in nearcopies.meetings(block, 0.8).itertuples()}
-    assert wanted and got.keys() == wanted.keys()
-    assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
-    assert not len(nearcopies.meetings(block[block.right], 0.8))
+    for i, s in enumerate(sets):
+        regs = nearcopies.registers(s)
+        for band, key in enumerate(regs.view(np.uint64).tolist()):
+            rows.append((hash((band, key)), band, i, i, i % 7, True, True, False, regs.tobytes(), len(s), s.tobytes(), 0))
+    block = pd.DataFrame(rows, columns=["block", "band", "rep", "first", "component", "right", "left", "minor", "regs", "n", "hashes", "bundle"])
+    made = nearcopies.Block(block, 0.8)
+    got = [(int(made.rep[a]), int(made.rep[b])) for i, j in made.pairs() for a, b in zip(i, j, strict=True)]
+    wanted, near = set(), set()
+    for a in range(40):
+        for b in range(a + 1, 40):
+            x, y = (nearcopies.registers(sets[c]) for c in (a, b))
+            n = [np.array([float(len(sets[c]))]) for c in (a, b)]
+            meets = (x.view(np.uint64) == y.view(np.uint64)).any() and a % 7 != b % 7 and min(n) >= 0.8 * max(n)
+            if meets and nearcopies.estimate(x[None], y[None], *n)[0] >= 0.8 - nearcopies.SLACK:
+                wanted.add((a, b))
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if meets and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                near.add((a, b))
+    assert near and len(got) == len(set(got)) and set(got) == wanted
+    links = nearcopies.verified(block, 0.8, 80)
+    label = {i: i % 7 for i in range(40)}
+    for a, b in links.itertuples(index=False):
+        assert (min(a, b), max(a, b)) in near
+        label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+    assert len(links) < 7 and all(label[a] == label[b] for a, b in near)
+
+
+@pytest.mark.parametrize("part", [3, 1000])
+def test_parts_of_a_bucket_lose_no_link(spark, monkeypatch, part):
+    monkeypatch.setattr(nearcopies, "PART", part)
+    monkeypatch.setattr(nearcopies, "SPREAD", 2)
+    monkeypatch.setattr(nearcopies, "AT_ONCE", 5)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # copies of one text with a few words changed: some pairs are linked, some are not
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(120)] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(117)} for t in texts]
+    parent = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if v == high else v for v in parent]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_components(df, 4, 80).collect()} == dict(enumerate(parent))
+    assert 1 < len(set(parent)) < 60
 
 
 def test_pipeline_drops_rows_by_their_own_text(spark, tmp_path):
