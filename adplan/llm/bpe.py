@@ -7,10 +7,11 @@ import json
 import mmap
 import struct
 import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ from adplan.llm.common import settle
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words compiled into the transducer, at most.
 LEXICON_WORDS = 32_768
-#: Texts that the lexicon's counts are taken from, about; the lexicon decides speed, never ids.
-SAMPLE = 20_000
 #: Words a task remembers before it starts anew, and code points up to which it does; this bounds memory and changes no result.
 REMEMBERED, LONGEST = 250_000, 64
 
@@ -311,35 +310,22 @@ class Encoder:
 
 
 def word_counts(docs: DataFrame, special: Iterable[str]) -> DataFrame:
-    """word, n over the texts; special strings part words and are none themselves."""
-    cut = "|".join(map(regex.escape, special))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, seen = regex.compile(PATTERN).findall, regex.compile(cut), Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-            seen.clear()
-            return got
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in parts.split(text) if cut else [text]:
-                    seen.update(words(part))
-                if len(seen) >= REMEMBERED:
-                    yield out()
-        yield out()
-
-    return docs.where("text is not null").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """word, n over the texts; special strings part words and are none themselves. Words of over LONGEST code points are left out."""
+    text, special = F.col("text"), list(special)
+    if special:
+        held = reduce(or_, [text.contains(s) for s in special])
+        text = F.explode(F.when(held, F.split(text, "|".join(rf"\Q{s}\E" for s in special))).otherwise(F.array(text)))
+    words = F.explode(F.regexp_extract_all("part", F.lit(PATTERN.replace("White_Space", "IsWhite_Space")), F.lit(0)))
+    return (docs.where("text is not null").select(text.alias("part")).select(words.alias("word"))
+            .where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def frequent_words(docs: DataFrame, special: Iterable[str], most: int = LEXICON_WORDS) -> list[str]:
-    """The commonest words of about SAMPLE texts, `most` at most: all words whose count lies in the highest classes that fit.
+    """The commonest words of all texts, `most` at most: all words whose count lies in the highest classes that fit.
 
     A class spans an eighth of a power of two, so a few hundred rows tell how many words each holds.
     """
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    counted = settle(word_counts(docs.select("text").sample(share, seed=4), special).where("n > 1 and length(word) <= 64")
+    counted = settle(word_counts(docs, special).where("n > 1")
                      .withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
     room, least = most, None
     for r in counted.groupBy("class").count().orderBy(F.desc("class")).collect():
@@ -358,8 +344,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS
     tokenizer is the path of a byte-level BPE file; its special strings are special in texts too.
     A null text counts as empty: no ids, decoded ''. Repeated rows and extra columns stay; docs
     must have no other column called n_tokens, ids or decoded (such are replaced). An empty
-    table gives no rows. The lexicon holds the `most` commonest words of a sample of
-    about SAMPLE texts; it is bounded, so it travels as a broadcast value, and it changes speed, never ids.
+    table gives no rows. The lexicon holds the `most` commonest words, counted over all texts; it
+    is bounded, so it travels as a broadcast value, and it changes speed, never ids.
     A task asks it once for each word it meets and remembers the answer.
     """
     vocabulary = read_vocabulary(tokenizer)

@@ -122,6 +122,22 @@ def test_hot_anchors_give_the_same_result(docs, monkeypatch):
     assert {r.row: r.kept for r in repeats.repeated_spans(rows).collect()} == plain
 
 
+def test_lexicon_counts_all_texts(spark):
+    # Every word stands in two far-apart texts; words of one text alone are not common.
+    texts = spark.range(0, 30_000, 1, 8).select(F.concat(F.lit("w"), F.conv((F.col("id") % 15_000).cast("string"), 10, 36), F.lit(" x"), F.conv(F.col("id").cast("string"), 10, 36)).alias("text"))
+    letters = texts.select(F.translate("text", "0123456789", "àáâãäåæçèé").alias("text"))
+    want = Counter(w for r in letters.collect() for w in bpe.regex.findall(bpe.PATTERN, r.text))
+    assert bpe.frequent_words(letters, []) == sorted(w for w, n in want.items() if n > 1)
+
+
+def test_word_counts_are_those_of_the_encoder(docs):
+    special, want = ["<|endoftext|>", "</s>"], Counter()
+    for r in docs.collect():
+        for part in bpe.regex.split("|".join(map(bpe.regex.escape, special)), r.text or ""):
+            want.update(w for w in bpe.regex.findall(bpe.PATTERN, part) if len(w) <= bpe.LONGEST)
+    assert {r.word: r.n for r in bpe.word_counts(docs, special).collect()} == want
+
+
 def test_bpe_equals_the_library(docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
