@@ -111,25 +111,34 @@ def _found(ranges: bool, day_first: bool) -> Column:
     return F.coalesce("__day", start)
 
 
+def _votes(df: DataFrame, columns: Mapping[str, bool]) -> DataFrame:
+    """column, vote: rows for the day first less rows for the month first. Patterns are matched once per distinct text."""
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("text")) for n in columns])
+    seen = (df.select(F.explode(cells).alias("c")).select("c.*").filter("text is not null")
+            .groupBy("column", "text").agg(F.count(F.lit(1)).alias("rows")))
+
+    def above(x: Column) -> Column:
+        return ((F.length(x) == 2) & (x > "12")).cast("int")  # of two digits, a larger text is a larger number
+
+    def vote(pattern: str) -> Column:
+        first, second = (F.regexp_extract("text", pattern, i) for i in (1, 2))
+        return above(first) - above(second)
+
+    both = F.col("column").isin(*[n for n, ranges in columns.items() if ranges])
+    vote_of_text = vote(_LOOSE) + F.when(both, vote(f".*{_LOOSE}")).otherwise(0)
+    return seen.groupBy("column").agg(F.sum(F.col("rows") * vote_of_text).alias("vote"))
+
+
 def day_first(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, bool]:
     """Whether numbers before a year have the day first, for each text column (name: whether it holds ranges),
     from one aggregation over all rows.
 
     A first number above 12 speaks for the day first, a second one above 12 for the month first. The majority
-    holds for the whole column; without any, the month is first. Of ranges both ends speak.
+    holds for the whole column; without any, the month is first. Of ranges both ends speak. Rows of a text are
+    counted first, so that a report with few dates has few texts to match.
     """
-    def above(x: Column) -> Column:
-        return (F.length(x) == 2) & (x > "12")  # of two digits, a larger text is a larger number
-
-    votes = []
-    for n, ranges in columns.items():
-        vote = F.lit(0)
-        for pattern in (_LOOSE, f".*{_LOOSE}") if ranges else (_LOOSE,):
-            first, second = (F.regexp_extract(F.col(f"`{n}`").cast("string"), pattern, i) for i in (1, 2))
-            vote = vote + F.count_if(above(first)) - F.count_if(above(second))
-        votes.append(vote.alias(n))
-    found = df.agg(*votes).first() if votes else {}
-    return {n: found[n] > 0 for n in columns}
+    found = {r.column: r.vote for r in _votes(df, columns).collect()} if columns else {}
+    return {n: found.get(n, 0) > 0 for n in columns}
 
 
 def date_readings(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, Reading]:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from adplan.functions import labels, text
-from adplan.functions.dates import date_readings, with_date, with_range_start
+from adplan.functions.dates import _votes, date_readings, day_first, with_date, with_range_start
 from adplan.functions.numeric import ratio, rnd, text_to_number, total
 
 day = datetime.date
@@ -140,3 +140,14 @@ def test_sums_keep_what_lies_below_a_ten_thousandth(spark):
     df = spark.range(1_000_000).selectExpr("0.00004D AS x", "-0.75D AS y", "1e12D AS z")
     row = df.agg(total(df, "x").alias("x"), total(df, "y").alias("y"), total(df, "z").alias("z")).first()
     assert (row.x, row.y, row.z) == (40.0, -750_000.0, 1e18)
+
+
+def test_order_of_day_and_month_is_matched_once_per_text(spark):
+    # Three rows of one text outvote two rows of two texts; the patterns stand above the counts of texts.
+    rows = ["13/1/2025"] * 3 + ["1/13/2025", "1/14/2025", None, "x"]
+    df = spark.createDataFrame([(x, f"1/2/2025 - {x}") for x in rows], "a string, b string")
+    votes = _votes(df, {"a": False, "b": True})
+    assert {r.column: r.vote for r in votes.collect()} == {"a": 1, "b": 1}
+    plan = votes._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan.split("Aggregate [column")[1] and "regexp_extract" not in plan.split("Aggregate [column")[2]
+    assert day_first(df.filter("a = 'none'"), {"a": False}) == {"a": False}
