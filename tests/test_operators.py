@@ -3,12 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
+from adplan.checks import inputs as inp
 from adplan.functions.schema import ADS_ALIASES
 from adplan.operators import attach, blended, breakdowns, health, ingest, kpis, timeseries, topk
+from adplan.operators import timeseries as ts
+from adplan.operators.summary import summarise
 from adplan.plans import budget, monthly, rules, scenarios
+from adplan.plans.account import account_tables, facts_of, rule_tables
 from adplan.plans.settings import Scenario, growth_scenarios, normalise_weights
 from adplan.sources import reports, stage
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def one(df):
     rows = df.collect()
@@ -257,3 +263,32 @@ def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
     assert {(r.file[-5], r.kind, r.moved) for r in found.files.collect()} == {("a", "ads", False), ("b", "ads", False), ("c", "ads", False), ("v", "vendor", True)}
     alone = route_reports(spark, vendor=f"{folder}/a.csv")
     assert alone.vendor is None and alone.ads.count() == 1 and alone.files.first().moved
+
+
+def test_facts_of_rules_come_from_what_rules_look_at(spark):
+    ads, vendor = inp.ads(spark, SMALL), inp.vendor(spark, SMALL)
+    wide, slim = account_tables(ads, vendor, by=["brand"]), rule_tables(ads, vendor, by=["brand"])
+    assert set(slim["campaigns"].columns) < set(wide["campaigns"].columns)
+    one, other = (facts_of(t, "+10%", ["brand"]).orderBy("brand").collect() for t in (wide, slim))
+    assert one == other and len(one) > 0
+
+
+def test_a_dimension_moves_only_the_sums_it_is_wanted_with(spark):
+    ads = inp.ads(spark, SMALL)
+    dims = {"campaign": "campaign_name", "asin": "asin"}
+    some, whole = summarise(ads, dims, only={"campaign": ["spend"], "asin": ["clicks", "idle_spend"]}), summarise(ads, dims)
+    both = some.alias("s").join(whole.alias("w"), [F.col("s.dimension") == F.col("w.dimension"), F.col("s.key").eqNullSafe(F.col("w.key"))])
+    rows = both.select("s.dimension", *[F.array(f"s.{c}", f"w.{c}").alias(c) for c in ("spend", "clicks", "idle_spend", "ad_sales")]).collect()
+    wanted = {"account": ["spend", "clicks", "idle_spend", "ad_sales"], "campaign": ["spend"], "asin": ["clicks", "idle_spend"]}
+    assert {r.dimension for r in rows} == set(wanted)
+    for r in rows:
+        for c in ("spend", "clicks", "idle_spend", "ad_sales"):
+            assert r[c][0] == (r[c][1] if c in wanted[r.dimension] else None)
+
+
+def test_account_tables_sum_months_like_trend(spark):
+    ads = inp.ads(spark, SMALL)
+    got = account_tables(ads, months=True)["months"]
+    want = ts.trend(ads, "M")
+    assert got.columns == want.columns and got.orderBy("period_start").collect() == want.collect()
+    assert "months" not in account_tables(ads.drop("report_date"), months=True)
