@@ -127,5 +127,8 @@ def above_zero(c: Column) -> Column:
 
 def text_to_number(c: Column) -> Column:
     """``$1,234.50`` -> 1234.5, ``12.5%`` -> 12.5; anything that is not a number -> null."""
-    bare = F.btrim(F.translate(c, "$%,", ""), F.lit(WHITESPACE))
+    # Searched byte by byte: translate takes cells apart by character, which costs more than all the rest.
+    for sign in "$%,":
+        c = F.replace(c, F.lit(sign), F.lit(""))
+    bare = F.btrim(c, F.lit(WHITESPACE))
     return F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))

@@ -151,3 +151,9 @@ def test_order_of_day_and_month_is_matched_once_per_text(spark):
     plan = votes._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" in plan.split("Aggregate [column")[1] and "regexp_extract" not in plan.split("Aggregate [column")[2]
     assert day_first(df.filter("a = 'none'"), {"a": False}) == {"a": False}
+
+
+def test_signs_are_stripped_without_taking_cells_apart(spark):
+    df = spark.createDataFrame([("$1,234.50",), (" 12.5% ",), ("$,%",), ("1,2é",), ("--",), (None,)], "c string").select(text_to_number(F.col("c")).alias("n"))
+    assert [r.n for r in df.collect()] == [1234.5, 12.5, None, None, None, None]
+    assert "translate" not in df._jdf.queryExecution().optimizedPlan().toString()
